@@ -1,7 +1,6 @@
 """Best-fit decreasing packing of token pieces, with a segment tree over the remaining capacities.
 
-Tokens: each run of non-space characters is tokenized once per worker and then taken from a bounded table; texts with
-characters that Python and the tokenizer split differently go to the tokenizer whole.
+Tokens come from wordpieces.py.
 
 The pieces are only numbers to the packing: equal lengths are interchangeable, so the driver plans over the counts of
 the lengths (at most `capacity` of them, whatever the corpus). Lengths are taken in decreasing order; a segment tree
@@ -24,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import keyed_documents, process_cache, written
+from tesserae.llm.common import chunks, keyed_documents, process_cache, written
+from tesserae.llm.wordpieces import Encoder
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct character runs that a worker keeps; beyond it the table starts anew.
-KNOWN = 400_000
-#: Where Python's white space or lower case differs from the tokenizer's.
-ODD = "\x1c\x1d\x1e\x1fΣİ"
+#: Bytes of text tokenized at once; what fits a core's cache is fastest.
+TOKEN_BYTES = 500_000
 
 
 def default_tokenizer() -> str:
@@ -40,55 +38,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Token ids of whole texts."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(KNOWN + 1, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        at = len(self.known)
-        used = self.begin[at]
-        for w, e in zip(words, self.whole.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while used + len(ids) > len(self.flat):
-                self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-            self.flat[used : used + len(ids)] = ids
-            used += len(ids)
-            self.known[w] = at
-            at += 1
-            self.begin[at] = used
-
-    def ids(self, text: str) -> np.ndarray:
-        if any(c in text for c in ODD):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        out = []
-        for k in range(0, len(words), KNOWN // 2):  # a long text in parts, so that the table need not outgrow KNOWN
-            part = words[k : k + KNOWN // 2]
-            found = list(map(self.known.get, part))
-            if None in found:
-                new = list({w for w, i in zip(part, found, strict=True) if i is None})
-                if len(self.known) + len(new) > KNOWN:
-                    self.clear()
-                    new = list(set(part))
-                self.learn(new)
-                found = list(map(self.known.__getitem__, part))
-            i = np.array(found, np.int64)
-            size = self.begin[i + 1] - self.begin[i] if len(i) else i
-            end = np.cumsum(size)
-            out.append(self.flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.begin[i] - (end - size), size)])
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, task and turn (a piece's rank among its task's of that length)."""
     path = tokenizer or default_tokenizer()
@@ -101,13 +50,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for k, text in enumerate(batch.column(1)):
-                ids = np.append(encoder.ids(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for i, s in enumerate(range(0, len(ids), capacity)):
-                    own = ids[s : s + capacity]
-                    n = len(own)
-                    rows.append((k, i, s, n, zlib.crc32(own.tobytes()), int(seen[n])))
-                    seen[n] += 1
+            for k, buf, offsets in chunks(batch.column(1), TOKEN_BYTES):
+                ids, at = encoder.batch(buf, offsets)
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
+                    for i, s in enumerate(range(0, len(own), capacity)):
+                        n = min(capacity, len(own) - s)
+                        rows.append((k, i, s, n, zlib.crc32(own[s : s + n].tobytes()), int(seen[n])))
+                        seen[n] += 1
+                    k += 1
             k, i, s, n, crc, turn = np.array(rows, np.int64).reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(i.astype(np.int32)), *map(pa.array, (s, n, crc)), pa.array(np.full(len(n), task, np.int32)), pa.array(turn)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "turn"])
 
