@@ -1,12 +1,181 @@
-"""The registered queries for the reference's own operators, and their SQL."""
+"""The registered queries for the codec operators, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tesserae import registry
+from tesserae.functions import native
+from tesserae.plans.pipeline import Chain
+from tesserae.schema import chunk
+
+
+def _table(name: str):
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+events, pages, lineitem, part, documents, embeddings = map(_table, ("events", "pages", "lineitem", "part", "documents", "embeddings"))
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_BYTES = "list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i:i]))::INT)"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return delta_encode_events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("delta").alias("total"))
+
+
+@query("SELECT event_id, event_type, user_id - coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS delta FROM events")
+def delta_encode_events(spark, sf_dir):
+    return native.delta_rows(events(spark, sf_dir), "user_id", ["event_id"], ["event_type"]).select("event_id", "event_type", "delta")
+
+
+@query("SELECT event_id, user_id AS value FROM events")
+def delta_decode_events(spark, sf_dir):
+    coded = native.delta_rows(events(spark, sf_dir), "user_id", ["event_id"], ["event_type"])
+    return native.undelta_rows(coded, "delta", ["event_id"], ["event_type"]).select("event_id", "value")
+
+
+@query("SELECT event_id, xor(user_id, coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0)) AS xored FROM events")
+def xor_encode_events(spark, sf_dir):
+    return native.xor_rows(events(spark, sf_dir), "user_id", ["event_id"], ["event_type"]).select("event_id", "xored")
+
+
+@query("SELECT event_id, user_id AS value FROM events")
+def xor_decode_events(spark, sf_dir):
+    coded = native.xor_rows(events(spark, sf_dir), "user_id", ["event_id"], ["event_type"])
+    return native.unxor_rows(coded, "xored", ["event_id"], ["event_type"]).select("event_id", "value")
+
+
+@query("""
+WITH turns AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS t
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+runs AS (SELECT *, sum(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM turns)
+SELECT user_id, run::BIGINT AS run, event_type, count(*) AS length FROM runs GROUP BY ALL""")
+def run_lengths_events(spark, sf_dir):
+    return native.runs(events(spark, sf_dir), "event_type", ["event_id"], ["user_id"])
+
+
+@query(f"SELECT page_id, list_sum(x)::BIGINT AS total FROM (SELECT page_id, {_BYTES} AS x FROM (SELECT page_id, encode(url) AS b FROM pages))")
+def byte_sums_pages(spark, sf_dir):
+    x = native.bytes_of(F.col("url"))
+    return pages(spark, sf_dir).select("page_id", F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query(f"""
+SELECT page_id, ((n + list_sum(list_transform(range(1, n + 1), lambda i: x[i] * (n - i + 1)))) % 65521 * 65536 + (1 + list_sum(x)) % 65521)::BIGINT AS adler
+FROM (SELECT page_id, {_BYTES} AS x, octet_length(b) AS n FROM (SELECT page_id, encode(url) AS b FROM pages))""")
+def adler32_pages(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", native.adler32(F.col("url")).alias("adler"))
+
+
+@query(f"SELECT page_id, list_reduce(x, lambda h, c: (h * 33 + c) % 4294967296, 5381::BIGINT) AS hash FROM (SELECT page_id, list_transform({_BYTES}, lambda v: v::BIGINT) AS x FROM (SELECT page_id, encode(url) AS b FROM pages))")
+def djb2_pages(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", native.djb2(F.col("url")).alias("hash"))
+
+
+@query("SELECT event_id, round_even(value * 128, 0) / 128 AS q FROM events")
+def quantize_scale_events(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", native.quantize_scale(F.col("value"), 2).alias("q"))
+
+
+@query("SELECT vec_id, i, d FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE - CASE WHEN i > 1 THEN embedding[i - 1]::DOUBLE ELSE 0 END)) AS d FROM embeddings)")
+def delta_encode_embeddings(spark, sf_dir):
+    x = native.delta_encode(F.col("embedding").cast("array<double>"))
+    return embeddings(spark, sf_dir).select("vec_id", F.posexplode(x).alias("i", "d")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("SELECT p_partkey, (p_partkey & 255)::INT AS b0, ((p_partkey >> 8) & 255)::INT AS b1, ((p_partkey >> 16) & 255)::INT AS b2, ((p_partkey >> 24) & 255)::INT AS b3 FROM part")
+def byteshuffle_part(spark, sf_dir):
+    x = native.byteshuffle_ints(F.array("p_partkey"), 4)
+    return part(spark, sf_dir).select("p_partkey", *[x[i].alias(f"b{i}") for i in range(4)])
+
+
+@query("SELECT p_partkey, " + ", ".join(f"(((p_size & 255) >> {7 - i}) & 1)::INT AS bit{i}" for i in range(8)) + " FROM part")
+def packints_decode_part(spark, sf_dir):
+    x = native.packints_decode(F.array(F.col("p_size").bitwiseAND(F.lit(255))), 1)
+    return part(spark, sf_dir).select("p_partkey", *[x[i].alias(f"bit{i}") for i in range(8)])
+
+
+@query("SELECT p_partkey, (" + " + ".join(f"(((p_size & 255) >> {i}) & 1) * {1 << 7 - i}" for i in range(8)) + ")::INT AS turned FROM part")
+def bitorder_part(spark, sf_dir):
+    return part(spark, sf_dir).select("p_partkey", native.bitorder(F.array(F.col("p_size").bitwiseAND(F.lit(255))))[0].alias("turned"))
+
+
+@query("SELECT page_id, starts_with(html, 'BM') AND octet_length(encode(html)) > 54 AS bmp, starts_with(html, 'GIF87a') OR starts_with(html, 'GIF89a') AS gif, starts_with(html, '#?') AS rgbe FROM pages")
+def checks_pages(spark, sf_dir):
+    data = F.col("html").cast("binary")
+    return pages(spark, sf_dir).select("page_id", *[native.check(n, data).alias(n) for n in ("bmp", "gif", "rgbe")])
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_documents(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def _round_trip(name: str, sql: str = "SELECT page_id, sha256(url) AS digest FROM pages"):
+    def run(spark, sf_dir):
+        data = F.col("url").cast("binary")
+        return pages(spark, sf_dir).select("page_id", F.sha2(registry.decode(name, registry.encode(name, data)), 256).alias("digest"))
+
+    run.__name__ = f"roundtrip_{name}"
+    return query(sql)(run)
+
+
+for _name in ("zlib", "zlibng", "zopfli", "deflate", "gzip", "bz2", "lzma", "zstd", "brotli", "lz4", "lz4f", "lz4h5", "snappy", "packbits", "lzw", "lzf", "pglz", "checksum", "bitshuffle", "none"):
+    _round_trip(_name)
+
+
+def _chain_trip(name: str, steps: list, column: str, table, key: str, sql: str):
+    def run(spark, sf_dir):
+        data = chunk(F.col(column).cast("string").cast("binary"), "u1")
+        made = Chain(steps)
+        return table(spark, sf_dir).select(key, F.sha2(made.decode(made.encode(data))["data"], 256).alias("digest"))
+
+    run.__name__ = name
+    return query(sql)(run)
+
+
+_DOCS = "SELECT doc_id, sha256(text) AS digest FROM documents"
+_chain_trip("chain_delta_lzw", [("delta", {}), ("lzw", {})], "url", pages, "page_id", "SELECT page_id, sha256(url) AS digest FROM pages")
+_chain_trip("chain_bitshuffle_zstd", [("bitshuffle", {"itemsize": 1}), ("zstd", {})], "text", documents, "doc_id", _DOCS)
+_chain_trip("chain_delta_bitshuffle_zstd", [("delta", {}), ("bitshuffle", {"itemsize": 1}), ("zstd", {})], "text", documents, "doc_id", _DOCS)
+_chain_trip("chain_xor_lzma", [("xor", {}), ("lzma", {"level": 0})], "url", pages, "page_id", "SELECT page_id, sha256(url) AS digest FROM pages")
+
+
+@query("SELECT lang, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS raw_bytes FROM documents GROUP BY lang")
+def sizes_by_language(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("raw_bytes"))
+
+
+@query()
+def compression_ratio_by_language(spark, sf_dir):
+    packed = F.octet_length(registry.encode("zstd", F.col("text").cast("binary")))
+    return documents(spark, sf_dir).select("lang", F.octet_length("text").alias("raw"), packed.alias("packed")).groupBy("lang").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"))
+
+
+@query()
+def codec_catalog(spark, sf_dir):
+    return registry.catalog(spark)
+
+
+@query()
+def lookup3_pages(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", registry.checksum("lookup3", F.col("url").cast("binary")).alias("hash"))
+
+
+@query()
+def fletcher32_pages(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", native.fletcher32(F.col("url")).alias("hash"))
