@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that a kernel holds as numpy arrays at once; one longer document is held alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 700_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
