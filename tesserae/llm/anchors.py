@@ -2,9 +2,9 @@
 
 Every window of a document (20 words, or 200 bytes) takes as its anchor the k-gram with the smallest hash inside it.
 Equal windows have equal anchors, so a window whose anchor occurs once is unique and never leaves its scan task.
-Repeated anchors go into a bit map of a fixed size (SKETCH_BITS), whatever the corpus: a false hit only costs a row
-of the exact search. If more anchors repeat than it takes at LOAD, the search runs in several rounds, each with the
-anchors of its own residue, so the broadcast never grows and no window is given up.
+Repeated anchors go into a bit map of LOAD bits each, of at most MOST_BITS whatever the corpus, so the broadcast has a
+proven bound: a false hit only costs a row of the exact search. A corpus with many more repeated anchors fills the map,
+and its windows then all go through the exact search; none is ever given up.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import U, chunks, gram_hashes, sliding_argmin, written
 
-SKETCH_BITS = 1 << 27
+#: At LOAD bits for each anchor, one window in 30 to 60 that does not repeat passes.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
 SLICES = 64
-LOAD = 8
+LOAD = 32
 #: Anchors that one task counts together before they go to the shuffle.
 FLUSH = 1_000_000
 
@@ -50,8 +51,8 @@ def first_of_runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def repeated_anchors(docs: DataFrame, windows: Windows) -> list[tuple[int, int, bytes]]:
-    """(round, rounds, packed bit map) for each round."""
+def repeated_anchors(docs: DataFrame, windows: Windows) -> bytes:
+    """The packed bit map of the anchors that occur twice."""
 
     def count(batches):
         held, n = [], 0
@@ -75,18 +76,17 @@ def repeated_anchors(docs: DataFrame, windows: Windows) -> list[tuple[int, int,
 
     found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     found = written(found.select("h"), "anchors")
-    rounds = max(1, -(-found.count() * LOAD // SKETCH_BITS))
-    return [(r, rounds, _sketch(found.where(F.pmod("h", F.lit(rounds)) == r))) for r in range(rounds)]
+    return _sketch(found, min(MOST_BITS, max(LEAST_BITS, 1 << (found.count() * LOAD).bit_length())))
 
 
-def _sketch(found: DataFrame) -> bytes:
-    """The bit map, merged in slices on the executors; the driver gets SKETCH_BITS / 8 bytes at most."""
-    width = SKETCH_BITS // SLICES
+def _sketch(found: DataFrame, size: int) -> bytes:
+    """The bit map, merged in slices on the executors; the driver gets size / 8 bytes at most."""
+    width = size // SLICES
 
     def bits(batches):
-        own = np.zeros(SKETCH_BITS // 8, np.uint8)
+        own = np.zeros(size // 8, np.uint8)
         for b in batches:
-            i = bit_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            i = bit_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)
             np.bitwise_or.at(own, i >> 3, (1 << (i & 7)).astype(np.uint8))
         each = own.reshape(SLICES, -1)
         full = np.flatnonzero(each.any(1))
@@ -105,14 +105,14 @@ def _sketch(found: DataFrame) -> bytes:
     return zlib.compress(whole.tobytes(), 1)
 
 
-def bit_of(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+def bit_of(h: np.ndarray, size: int) -> np.ndarray:
+    # anchors are the smallest hashes of their windows: spread them over the whole map first
+    return (h * U(0xD1342543DE82EF95) >> U(64 - size.bit_length() + 1)).astype(np.int64)
 
 
-def in_sketch(sketch: np.ndarray, h: np.ndarray, of: int, rounds: int) -> np.ndarray:
-    i = bit_of(h)
-    hit = (sketch[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
-    return hit if rounds == 1 else hit & (h.view(np.int64) % rounds == of)
+def in_sketch(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
+    i = bit_of(h, 8 * len(sketch))
+    return (sketch[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
 
 
 def opened(packed: bytes) -> np.ndarray:

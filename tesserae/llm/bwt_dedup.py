@@ -108,37 +108,34 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     windows = Windows(length, min(ANCHOR_BYTES, length), _byte_layout)
     keyed = keyed_documents(docs)
     spark = docs.sparkSession
-    fragments = None
-    for of, rounds, packed in repeated_anchors(keyed, windows):
-        sketch = spark.sparkContext.broadcast(packed)
-
-        def emit(batches, of=of, rounds=rounds, sketch=sketch):
-            bits = opened(sketch.value)
-            for batch in batches:
-                did, tid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                for i, buf, offsets in chunks(batch.column(2)):
-                    values, at, starts, place, grams = windows.of(buf, offsets)
-                    if not len(starts):
-                        continue
-                    own = np.searchsorted(at, starts, "right") - 1
-                    key = place + own * np.int64(1 << 40)
-                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    last = np.r_[first[1:], len(key)] - 1
-                    h = grams[place[first]]
-                    hit = np.flatnonzero(in_sketch(bits, h, of, rounds))
-                    first, last, h = first[hit], last[hit], h[hit]
-                    s, e, own = starts[first], starts[last] + length, own[first]
-                    raw = buf.tobytes()
-                    for k in range(0, len(s), 20_000):
-                        t = slice(k, k + 20_000)
-                        parts = [raw[a:b] for a, b in zip(s[t].tolist(), e[t].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x) for x in (did[i + own[t]], tid[i + own[t]], s[t] - at[own[t]], h[t].view(np.int64), (place[first] - s)[t])] + [pa.array(parts, pa.binary())],
-                            ["did", "tid", "start", "anchor", "before", "fragment"],
-                        )
-
-        found = keyed.select("did", "tid", "text").mapInArrow(emit, "did long, tid long, start long, anchor long, before long, fragment binary")
-        fragments = found if fragments is None else fragments.unionAll(found)
+    sketch = spark.sparkContext.broadcast(repeated_anchors(keyed, windows))
+
+    def emit(batches):
+        bits = opened(sketch.value)
+        for batch in batches:
+            did, tid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i, buf, offsets in chunks(batch.column(2)):
+                values, at, starts, place, grams = windows.of(buf, offsets)
+                if not len(starts):
+                    continue
+                own = np.searchsorted(at, starts, "right") - 1
+                key = place + own * np.int64(1 << 40)
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                last = np.r_[first[1:], len(key)] - 1
+                h = grams[place[first]]
+                hit = np.flatnonzero(in_sketch(bits, h))
+                first, last, h = first[hit], last[hit], h[hit]
+                s, e, own = starts[first], starts[last] + length, own[first]
+                raw = buf.tobytes()
+                for k in range(0, len(s), 20_000):
+                    t = slice(k, k + 20_000)
+                    parts = [raw[a:b] for a, b in zip(s[t].tolist(), e[t].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (did[i + own[t]], tid[i + own[t]], s[t] - at[own[t]], h[t].view(np.int64), (place[first] - s)[t])] + [pa.array(parts, pa.binary())],
+                        ["did", "tid", "start", "anchor", "before", "fragment"],
+                    )
+
+    fragments = keyed.select("did", "tid", "text").mapInArrow(emit, "did long, tid long, start long, anchor long, before long, fragment binary")
     fragments = fragments.withColumns({"c1": F.xxhash64("fragment"), "c2": F.xxhash64(F.lit("second"), "fragment")})
     classes = fragments.groupBy("anchor", "before", "fragment").agg(F.count("*").alias("n"))
     classes = written(classes.withColumns({"c1": F.xxhash64("fragment"), "c2": F.xxhash64(F.lit("second"), "fragment")}), "classes")

@@ -1,15 +1,19 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The corpus itself is the reference. Its index holds every repeated phrase of `window` words with its first place
-(document, start), and is dealt over all tasks by phrase hash: each part is one indexed reference block, and a
-document meets every block that could hold one of its phrases. A document is then parsed greedily: at a phrase that
-starts earlier elsewhere a factor begins and runs on as long as its source does; after it the parse goes on behind
-the factor. Phrases that straddle the end of a factor, and continue in another source, are looked up as well
-(the check at factor boundaries), so the factors cover exactly the words of all phrases that start earlier.
-
-Nulls: a null text has no words; a null doc_id sorts before all others. Repeated rows: rows with one doc_id and one
-text are one document (nothing is removed from one because of the other). Documents under `window` words stay whole.
-An empty table gives an empty result. Other columns are ignored.
+The corpus itself is the reference. Its index holds every phrase of `window` words that may repeat, with its first
+place (document, start), and is dealt over all tasks by phrase hash: each part is one indexed reference block, and a
+document meets every block that could hold one of its phrases. A document is then parsed greedily: at a phrase whose
+first place is elsewhere a factor begins and runs on while the next word completes such a phrase again. Phrases that
+straddle the end of a factor are looked up as well (the check at factor boundaries), so the factors cover exactly the
+words of all phrases that start earlier.
+
+What comes back from the index is the list of first places, by document: of a document's phrases that may repeat, all
+others are copies. The place that a factor was copied from stays in the index; sending it back with every copy took
+more disk than the check tool allows (README).
+
+Nulls: a null text has no words; a null doc_id sorts before all others. Repeated rows: rows that share a doc_id are one
+document, whose places are shared (nothing is removed from one of two equal rows because of the other). Documents
+under `window` words stay whole. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.anchors import Windows, first_of_runs, in_sketch, opened, repeated_anchors
+from tesserae.llm.anchors import Windows, in_sketch, opened, repeated_anchors
 from tesserae.llm.common import BASES, byte_values, chunks, gram_hashes, keyed_documents, span_hashes, word_spans
 
-ANCHOR_WORDS = 6
+#: Long enough that frequent words alone rarely repeat one (at 6, a third of all windows looked repeated).
+ANCHOR_WORDS = 8
 
 
 def _word_layout(buf: np.ndarray, offsets: np.ndarray):
@@ -31,90 +36,81 @@ def _word_layout(buf: np.ndarray, offsets: np.ndarray):
     return span_hashes(byte_values()[buf], starts, ends), at
 
 
-def parse(pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, source document, source start) of one document, then the ones found at factor
-    boundaries, from its phrases that start earlier elsewhere, in order of pos."""
-    if not len(pos):
+WINDOWS = 20
+
+
+def parse(copies: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Factors (start, words) of one document, from the starts of its phrases that occur earlier, in order."""
+    if not len(copies):
         return []
-    cut = np.flatnonzero((np.diff(pos) != 1) | (np.diff(src) != 0) | (np.diff(src_pos) != 1)) + 1
-    first, last = np.r_[0, cut], np.r_[cut, len(pos)] - 1
-    out = []
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        out.append((int(pos[a]), int(pos[b] - pos[a]) + window, int(src[a]), int(src_pos[a])))
-    return out
+    cut = np.flatnonzero(np.diff(copies) != 1) + 1
+    first, last = copies[np.r_[0, cut]], copies[np.r_[cut, len(copies)] - 1]
+    return list(zip(first.tolist(), (last - first + window).tolist(), strict=True))
+
 
+def first_places(keyed: DataFrame, windows: Windows, sketch) -> DataFrame:
+    """did, pos: where each phrase that may repeat occurs first."""
 
-def factors(docs: DataFrame, window: int = 20) -> DataFrame:
-    """did, tid, phrases array<struct<pos, src, src_pos>>: for each document that has any, its phrases that start
-    earlier, with the first place of each."""
+    def emit(batches):
+        bits = opened(sketch.value)
+        for batch in batches:
+            did = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, buf, offsets in chunks(batch.column(1)):
+                values, at, starts, place, grams = windows.of(buf, offsets)
+                if not len(starts):
+                    continue
+                starts = starts[in_sketch(bits, grams[place])]
+                own = np.searchsorted(at, starts, "right") - 1
+                two = [gram_hashes(values, windows.length, b)[starts].view(np.int64) for b in BASES]
+                for k in range(0, len(starts), 100_000):
+                    s = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (two[0][s], two[1][s], did[i + own[s]], (starts - at[own])[s])], ["h1", "h2", "did", "pos"])
+
+    phrases = keyed.select("did", "text").mapInArrow(emit, "h1 long, h2 long, did long, pos long")
+    return phrases.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos")).alias("first")).select("first.did", F.col("first.pos").cast("int").alias("pos"))
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOWS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (its kept words, joined by one space), factors (start and words of every one):
+    every word within a factor of at least `window` words goes."""
     windows = Windows(window, min(ANCHOR_WORDS, window), _word_layout)
     keyed = keyed_documents(docs)
-    spark = docs.sparkSession
-    occurrences = None
-    for of, rounds, packed in repeated_anchors(keyed, windows):
-        sketch = spark.sparkContext.broadcast(packed)
-
-        def emit(batches, of=of, rounds=rounds, sketch=sketch):
-            bits = opened(sketch.value)
-            for batch in batches:
-                did, tid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                for i, buf, offsets in chunks(batch.column(2)):
-                    values, at, starts, place, grams = windows.of(buf, offsets)
-                    if not len(starts):
-                        continue
-                    hit = in_sketch(bits, grams[place], of, rounds)
-                    starts = starts[hit]
-                    own = np.searchsorted(at, starts, "right") - 1
-                    two = [gram_hashes(values, window, b)[starts].view(np.int64) for b in BASES]
-                    for k in range(0, len(starts), 100_000):
-                        s = slice(k, k + 100_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (two[0][s], two[1][s], did[i + own[s]], tid[i + own[s]], (starts - at[own])[s])], ["h1", "h2", "did", "tid", "pos"])
-
-        found = keyed.select("did", "tid", "text").mapInArrow(emit, "h1 long, h2 long, did long, tid long, pos long")
-        occurrences = found if occurrences is None else occurrences.unionAll(found)
-    index = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos")).alias("src"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "src")
-    earlier = occurrences.join(index, ["h1", "h2"]).where("src.did <> did or src.pos <> pos")
-    return earlier.groupBy("did", "tid").agg(F.collect_list(F.struct("pos", F.col("src.did").alias("src"), F.col("src.pos").alias("src_pos"))).alias("phrases"))
-
-
-def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (its kept words, joined by one space), factors (start, words, source document
-    and start of every factor): every word within a factor of at least `window` words goes."""
-    keyed = keyed_documents(docs)
-    joined = keyed.join(factors(docs, window), ["did", "tid"], "left").select("doc_id", "text", "phrases")
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated_anchors(keyed, windows))
+    # flat rows through the shuffle, then one list for each document
+    firsts = first_places(keyed, windows, sketch).repartition("did").groupBy("did").agg(F.collect_list("pos").alias("firsts"))
+    joined = keyed.join(firsts, "did", "left").select("doc_id", "text", "firsts")
 
     def cut(batches):
+        bits = opened(sketch.value)
         for batch in batches:
-            phrases = batch.column(2)
-            ids = batch.column(0)
+            ids, firsts = batch.column(0), batch.column(2)
             for i, buf, offsets in chunks(batch.column(1)):
                 starts, ends, at = word_spans(buf, offsets)
+                _, _, phrases, place, grams = windows.of(buf, offsets)
+                phrases = phrases[in_sketch(bits, grams[place])] if len(phrases) else phrases
+                by = np.searchsorted(phrases, at)
                 kept, removed, made = [], [], []
                 for j in range(len(at) - 1):
                     s, e = starts[at[j] : at[j + 1]], ends[at[j] : at[j + 1]]
-                    own, gone = [], 0
-                    if phrases[i + j].is_valid:
-                        x = phrases[i + j].values
-                        pos, src, src_pos = (x.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                        order = np.argsort(pos, kind="stable")
-                        pos, src, src_pos = pos[order], src[order], src_pos[order]
-                        one = first_of_runs(pos)
-                        own = parse(pos[one], src[one], src_pos[one], window)
+                    own = phrases[by[j] : by[j + 1]] - at[j]
+                    if len(own) and firsts[i + j].is_valid:
+                        own = np.setdiff1d(own, firsts[i + j].values.to_numpy(), assume_unique=True)
+                    found = parse(own, window)
+                    if found:
                         edge = np.zeros(len(s) + 1, np.int64)
-                        np.add.at(edge, [f[0] for f in own], 1)
-                        np.add.at(edge, [f[0] + f[1] for f in own], -1)
+                        np.add.at(edge, [f[0] for f in found], 1)
+                        np.add.at(edge, [f[0] + f[1] for f in found], -1)
                         keep = np.cumsum(edge[:-1]) == 0
-                        gone = int(len(keep) - keep.sum())
                         s, e = s[keep], e[keep]
                     kept.append(_joined(buf, s, e))
-                    removed.append(gone)
-                    made.append([{"start": a, "words": b, "src": c, "src_start": d} for a, b, c, d in own])
+                    removed.append(int(at[j + 1] - at[j]) - len(s))
+                    made.append([{"start": a, "words": b} for a, b in found])
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(kept)), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(made, FACTOR)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long, src: long, src_start: long>>")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long>>")
 
 
-FACTOR = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "src", "src_start")]))
+FACTOR = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words")]))
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
