@@ -7,6 +7,7 @@ import gzip
 import lzma
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -623,7 +624,23 @@ def crc32(data: bytes, value: int = 0) -> int:
     return zlib.crc32(data, value)
 
 
-CHECKSUMS = {"crc32": crc32, "adler32": adler32, "fletcher32": fletcher32, "lookup3": lookup3, "hash_string": hash_string}
+@cache
+def _h5crc_table() -> list[int]:
+    """The polynomial 0x04C11DB7 used unreflected with right shifts, as HDF5 does."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ 0x04C11DB7, table >> 1).astype(np.uint32)
+    return table.tolist()
+
+
+def h5crc(data: bytes, value: int = 0) -> int:
+    table, crc = _h5crc_table(), 0xFFFFFFFF
+    for c in data:
+        crc = table[(crc ^ c) & 0xFF] ^ crc >> 8
+    return crc ^ 0xFFFFFFFF
+
+
+CHECKSUMS = {"crc32": crc32, "adler32": adler32, "fletcher32": fletcher32, "lookup3": lookup3, "hash_string": hash_string, "h5crc": h5crc}
 
 
 def checksum_encode(data: bytes, kind: str = "crc32", value: int | None = None, prepend: bool = False) -> bytes:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 
+from tesserae.operators.bilevel import ccittfax3_decode, ccittfax4_decode, ccittrle_decode
 from tesserae.operators.compressors import CodecError, lzw_decode, lzw_encode, packbits_decode, packbits_encode
+from tesserae.operators.filters import bitorder
 
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -730,6 +733,10 @@ def _tiff_page(data: bytes, t: dict) -> np.ndarray:
     s, bits = t.get(277, (1,))[0], t.get(258, (1,))[0]
     kind = {1: "u", 2: "i", 3: "f", 4: "u"}[t.get(339, (1,))[0]]
     unpack = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress, 32773: packbits_decode}.get(t.get(259, (1,))[0])
+    fax = {2: ccittrle_decode, 3: partial(ccittfax3_decode, t4options=t.get(292, (0,))[0]), 4: ccittfax4_decode}.get(t.get(259, (1,))[0]) if bits == s == 1 else None
+    if fax:
+        flip = bitorder if t.get(266, (1,))[0] == 2 else bytes
+        unpack = lambda raw: np.packbits(fax(flip(raw), tw), axis=1).tobytes()
     if unpack is None or bits not in (1, 8, 16, 32, 64):
         raise NotImplementedError("compression or depth")
     planar = t.get(284, (1,))[0] == 2 and s > 1

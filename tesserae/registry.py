@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import native
+from tesserae.operators import bilevel as B
 from tesserae.operators import compressors as C
 from tesserae.operators import filters as A
 from tesserae.operators import images as I
+from tesserae.operators import lossless as L
 from tesserae.schema import CHUNK, from_array, to_array
 
 #: Kinds: what encode takes and gives.
@@ -64,13 +66,17 @@ def _codecs() -> dict[str, Codec]:
         Codec("tiff", SERIALIZER, I.tiff_encode, I.tiff_decode, ("tif", "tiff", "ome.tif", "lsm", "btf")),
         Codec("bcn", SERIALIZER, None, I.bcn_decode),
         Codec("dds", SERIALIZER, None, I.dds_decode, ("dds",)),
+        *[Codec(n, SERIALIZER, None, getattr(B, f"{n}_decode")) for n in ("ccittrle", "ccittfax3", "ccittfax4")],
+        *[Codec(n, SERIALIZER, getattr(L, f"{n}_encode"), getattr(L, f"{n}_decode")) for n in ("plio", "pixarlog")],
+        Codec("ljpeg", SERIALIZER, L.ljpeg_encode, L.ljpeg_decode, ("ljp", "ljpg", "ljpeg")),
+        Codec("jpegsof3", SERIALIZER, None, L.jpegsof3_decode),
     ]
     # listed as unavailable: their libraries are not here, or no kernel is written yet
     absent = {
         BYTES: "aec blosc blosc2 lzfse lzham szip",
         SERIALIZER: (
-            "avif brunsli ccittfax3 ccittfax4 ccittrle exr hcomp heif htj2k jetraw jpeg jpeg2k jpeg8 jpegls jpegsof3 jpegxl jpegxr jpegxs lerc ljpeg meshopt "
-            "mozjpeg pcodec pixarlog plio sperr sz3 ultrahdr wavpack webp wic zfp"
+            "avif brunsli exr hcomp heif htj2k jetraw jpeg jpeg2k jpeg8 jpegls jpegxl jpegxr jpegxs lerc meshopt "
+            "mozjpeg pcodec sperr sz3 ultrahdr wavpack webp wic zfp"
         ),
         FILTER: "cms",
     }

@@ -103,3 +103,34 @@ def test_queries_match_sql(spark, sf):
         cols = sorted(mine.columns)
         assert cols == sorted(theirs.columns)
         assert sorted(map(tuple, mine[cols].astype(str).values)) == sorted(map(tuple, theirs[cols].astype(str).values)), name
+
+
+@pytest.mark.parametrize("form", ("CCITT RLE", "CCITT T.4", "CCITT T.6", "LZW", "PackBits", "Deflate"))
+def test_two_color_tiff_of_another_writer(spark, form):
+    """Pages written by the Java platform's TIFF writer."""
+    jvm = spark._jvm
+    h, w = 40, 3000
+    rng = np.random.default_rng(1)
+    # runs of all lengths, in both colours
+    x = np.zeros((h, w), np.uint8)
+    for row in x:
+        at = np.cumsum(np.r_[rng.integers(0, 70, 12), rng.integers(0, 1900, 3)])
+        for a, b in zip(at[::2], at[1::2]):
+            row[a:b] = 1
+    x[20:30] = x[19]
+    x[25:30, 1:] = x[25:30, :-1]
+    data = jvm.java.awt.image.DataBufferByte(bytearray(np.packbits(x, axis=1).tobytes()), -(-w // 8) * h)
+    image = jvm.java.awt.image.BufferedImage(w, h, 12)
+    image.setData(jvm.java.awt.image.Raster.createPackedRaster(data, w, h, 1, None))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)
+    param.setCompressionType(form)
+    raw = jvm.java.io.ByteArrayOutputStream()
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(raw)
+    writer.setOutput(out)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    out.flush()
+    back = images.tiff_decode(bytes(raw.toByteArray()))
+    assert back.shape == x.shape
+    assert (back == x).all() or (back == 1 - x).all()
