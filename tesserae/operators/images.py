@@ -12,6 +12,7 @@ import numpy as np
 from tesserae.operators.bilevel import ccittfax3_decode, ccittfax4_decode, ccittrle_decode
 from tesserae.operators.compressors import CodecError, lzw_decode, lzw_encode, packbits_decode, packbits_encode
 from tesserae.operators.filters import bitorder
+from tesserae.operators.jpeg import jpeg_decode
 
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -663,7 +664,7 @@ def dds_decode(data: bytes) -> np.ndarray:
 
 # ---- TIFF ----
 
-TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "s", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
 def tiff_encode(x: np.ndarray, compression: str = "none", rowsperstrip: int = 0) -> bytes:
@@ -721,7 +722,7 @@ def tiff_pages(data: bytes) -> list[dict]:
                 place = at + (12 if big else 8)
                 if size > room:
                     place = struct.unpack_from(e + ("Q" if big else "I"), data, place)[0]
-                tags[tag] = data[place : place + count] if t == 2 else struct.unpack_from(f"{e}{count}{form}", data, place)
+                tags[tag] = data[place : place + count] if t in (2, 7) else struct.unpack_from(f"{e}{count}{form}", data, place)
             at += 20 if big else 12
         pages.append(tags)
         at = struct.unpack_from(e + ("Q" if big else "I"), data, at)[0]
@@ -737,6 +738,10 @@ def _tiff_page(data: bytes, t: dict) -> np.ndarray:
     if fax:
         flip = bitorder if t.get(266, (1,))[0] == 2 else bytes
         unpack = lambda raw: np.packbits(fax(flip(raw), tw), axis=1).tobytes()
+    if t.get(259, (1,))[0] == 7 and bits == 8:
+        stored = {2: "RGB", 6: "YCBCR", 5: "CMYK"}.get(t[262][0], None) if s > 1 and t.get(284, (1,))[0] == 1 else None
+        shared = bytes(t[347]) if 347 in t else None
+        unpack = lambda raw: jpeg_decode(raw, shared, colorspace=stored).tobytes()
     if unpack is None or bits not in (1, 8, 16, 32, 64):
         raise NotImplementedError("compression or depth")
     planar = t.get(284, (1,))[0] == 2 and s > 1

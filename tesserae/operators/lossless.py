@@ -40,7 +40,7 @@ def _restored(d: np.ndarray, predictor: int, start: int) -> np.ndarray:
     return out
 
 
-def _huffman(counts: bytes, symbols: bytes) -> list:
+def huffman_table(counts: bytes, symbols: bytes) -> list:
     """(symbol, code length) for every value of the next 16 bits."""
     table: list = [None] * 65536
     code, k = 0, 0
@@ -83,7 +83,7 @@ def _differences(scan: bytes, tables: list[list], n: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _scan_end(data: bytes, i: int) -> tuple[list[bytes], int]:
+def scan_parts(data: bytes, i: int) -> tuple[list[bytes], int]:
     """The entropy-coded stretches between restart marks, and the place of the next other marker."""
     parts, start = [], i
     while True:
@@ -124,7 +124,7 @@ def jpegsof3_decode(data: bytes) -> np.ndarray:
             k = 0
             while k + 17 <= len(body):
                 counts = body[k + 1 : k + 17]
-                tables[body[k]] = _huffman(counts, body[k + 17 : k + 17 + sum(counts)])
+                tables[body[k]] = huffman_table(counts, body[k + 17 : k + 17 + sum(counts)])
                 k += 17 + sum(counts)
         elif mark == 0xDD:
             every = struct.unpack(">H", body[:2])[0]
@@ -148,7 +148,7 @@ def jpegsof3_decode(data: bytes) -> np.ndarray:
                 raise CodecError("scan header has no valid predictor or tables")
             if every % width:
                 raise CodecError("restart intervals of broken rows are not available")
-            parts, i = _scan_end(data, i)
+            parts, i = scan_parts(data, i)
             step = every // width or height
             for part, y in zip(parts, range(0, height, step)):
                 rows = min(step, height - y)
@@ -175,7 +175,7 @@ def ljpeg_decode(data: bytes, linearize: np.ndarray | None = None) -> np.ndarray
     return table[out].astype(out.dtype)
 
 
-def _code_lengths(counts: dict[int, int]) -> dict[int, int]:
+def code_lengths(counts: dict[int, int]) -> dict[int, int]:
     """Lengths of at most 16 bits that leave the word of ones free."""
     while True:
         heap = [(n, s, (s,)) for s, n in [*counts.items(), (-1, 0)]]
@@ -193,6 +193,25 @@ def _code_lengths(counts: dict[int, int]) -> dict[int, int]:
         counts = {s: n + 1 >> 1 for s, n in counts.items()}
 
 
+def code_words(lengths: dict[int, int]) -> tuple[list[int], np.ndarray]:
+    """The symbols in the order of their code words, and the words by symbol."""
+    symbols = sorted(lengths, key=lambda s: (lengths[s], s))
+    words, code, last = np.zeros(256, np.int64), -1, 0
+    for s in symbols:
+        code = code + 1 << lengths[s] - last
+        words[s], last = code, lengths[s]
+    return symbols, words
+
+
+def packed_words(value: np.ndarray, total: np.ndarray) -> bytes:
+    """The lowest total bits of every value end to end, filled with ones; bytes of ones are stuffed."""
+    ends = np.cumsum(total)
+    which = np.repeat(np.arange(len(total)), total)
+    bit = value[which] >> ends[which] - 1 - np.arange(ends[-1]) & 1
+    pad = np.ones(-len(bit) % 8, np.int64)
+    return np.packbits(np.r_[bit, pad].astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+
+
 def ljpeg_encode(x: np.ndarray, bitspersample: int | None = None, delinearize: np.ndarray | None = None) -> bytes:
     """One component, predicted from the left, with a Huffman table of its own."""
     if x.dtype not in (np.uint8, np.uint16) or x.ndim not in (2, 3) or x.ndim == 3 and x.shape[2] != 1 or not x.size or max(x.shape) > 0xFFFF:
@@ -219,22 +238,14 @@ def ljpeg_encode(x: np.ndarray, bitspersample: int | None = None, delinearize: n
     d = ((v - predicted + 0x8000 & 0xFFFF) - 0x8000).ravel()
     size = np.frexp(np.abs(d).astype(float))[1].astype(np.int64)
     seen, n = np.unique(size, return_counts=True)
-    lengths = _code_lengths(dict(zip(seen.tolist(), n.tolist())))
-    symbols = sorted(lengths, key=lambda s: (lengths[s], s))
-    words, code, last = np.zeros(17, np.int64), -1, 0
-    for s in symbols:
-        code = code + 1 << lengths[s] - last
-        words[s], last = code, lengths[s]
+    lengths = code_lengths(dict(zip(seen.tolist(), n.tolist())))
+    symbols, words = code_words(lengths)
     length = np.array([lengths.get(s, 0) for s in range(17)])[size]
     extra = np.where(size == 16, 0, size)
     tail = np.where(d < 0, d + (1 << extra) - 1, d) & (1 << extra) - 1
     total = length + extra
     value = words[size] << extra | tail
-    ends = np.cumsum(total)
-    which = np.repeat(np.arange(len(total)), total)
-    bit = value[which] >> ends[which] - 1 - np.arange(ends[-1]) & 1
-    pad = np.ones(-len(bit) % 8, np.int64)
-    scan = np.packbits(np.r_[bit, pad].astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+    scan = packed_words(value, total)
     counts = bytes(sum(k == i for k in lengths.values()) for i in range(1, 17))
     part = lambda mark, body: struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
     return (
