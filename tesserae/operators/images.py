@@ -10,8 +10,8 @@ from functools import partial
 import numpy as np
 
 from tesserae.operators.bilevel import ccittfax3_decode, ccittfax4_decode, ccittrle_decode
-from tesserae.operators.compressors import CodecError, lzw_decode, lzw_encode, packbits_decode, packbits_encode
-from tesserae.operators.filters import bitorder
+from tesserae.operators.compressors import CodecError, lzma_decode, lzma_encode, lzw_decode, lzw_encode, packbits_decode, packbits_encode, zstd_decode, zstd_encode
+from tesserae.operators.filters import bitorder, delta_encode, floatpred_decode, floatpred_encode
 from tesserae.operators.jpeg import jpeg_decode
 
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -55,7 +55,10 @@ def png_encode(x: np.ndarray, level: int = 6) -> bytes:
 
 
 def apng_encode(x: np.ndarray, level: int = 6, delay: int = 100) -> bytes:
-    """Frames along the first axis; delay in milliseconds."""
+    """Frames along the first axis, unless the array is one image: of two dimensions, or with 3 or 4 samples last; delay
+    in milliseconds."""
+    if x.ndim == 2 or x.ndim == 3 and x.shape[2] in (3, 4):
+        x = x[None]
     out = [PNG_SIGNATURE, _png_head(x[0]), _png_chunk(b"acTL", struct.pack(">II", len(x), 0))]
     turn = 0
     for i, frame in enumerate(x):
@@ -667,22 +670,29 @@ def dds_decode(data: bytes) -> np.ndarray:
 TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "s", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
-def tiff_encode(x: np.ndarray, compression: str = "none", rowsperstrip: int = 0) -> bytes:
-    """Pages along the first axis of 3-D gray or 4-D RGB arrays; little-endian, contiguous strips."""
+def tiff_encode(x: np.ndarray, compression: str = "none", rowsperstrip: int = 0, predictor: bool = False) -> bytes:
+    """Pages along the first axis of 3-D gray or 4-D RGB arrays; little-endian, contiguous strips. The predictor takes
+    differences along rows, or of the bytes of floats by their place."""
     pages = x if x.ndim == 4 or x.ndim == 3 and x.shape[-1] not in (3, 4) else x[None]
-    code, pack = {"none": (1, bytes), "lzw": (5, lzw_encode), "deflate": (8, lambda b: zlib.compress(b)), "packbits": (32773, packbits_encode)}[compression]
+    code, pack = {"none": (1, bytes), "lzw": (5, lzw_encode), "deflate": (8, lambda b: zlib.compress(b)), "packbits": (32773, packbits_encode), "lzma": (34925, lzma_encode), "zstd": (50000, zstd_encode)}[compression]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for page in pages:
         h, w = page.shape[:2]
         s = 1 if page.ndim == 2 else page.shape[2]
         rows = rowsperstrip or h
-        strips = [pack(np.ascontiguousarray(page[k : k + rows]).tobytes()) for k in range(0, h, rows)]
+        coded = np.ascontiguousarray(page)
+        if predictor and page.dtype.kind == "f":
+            coded = floatpred_encode(coded.reshape(h, -1), -1, s)
+        elif predictor:
+            coded = delta_encode(coded, 1)
+        strips = [pack(coded[k : k + rows].tobytes()) for k in range(0, h, rows)]
         places = []
         for strip in strips:
             places.append(len(out))
             out += strip + b"\0" * (len(strip) % 2)
         kind = {"u": 1, "i": 2, "f": 3}[page.dtype.kind]
-        tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [page.dtype.itemsize * 8] * s), (259, 3, [code]), (262, 3, [2 if s >= 3 else 1]), (273, 4, places), (277, 3, [s]), (278, 4, [rows]), (279, 4, [len(t) for t in strips]), *([(338, 3, [2])] if s in (2, 4) else []), (339, 3, [kind] * s)]
+        tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [page.dtype.itemsize * 8] * s), (259, 3, [code]), (262, 3, [2 if s >= 3 else 1]), (273, 4, places), (277, 3, [s]), (278, 4, [rows]), (279, 4, [len(t) for t in strips]), *([(338, 3, [2])] if s in (2, 4) else []), *([(317, 3, [3 if kind == 3 else 2])] if predictor else []), (339, 3, [kind] * s)]
+        tags.sort(key=lambda t: t[0])
         extra = {}
         for tag, t, values in tags:
             raw = struct.pack(f"<{len(values)}{TIFF_TYPES[t]}", *values)
@@ -733,7 +743,7 @@ def _tiff_page(data: bytes, t: dict) -> np.ndarray:
     w, h = t[256][0], t[257][0]
     s, bits = t.get(277, (1,))[0], t.get(258, (1,))[0]
     kind = {1: "u", 2: "i", 3: "f", 4: "u"}[t.get(339, (1,))[0]]
-    unpack = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress, 32773: packbits_decode}.get(t.get(259, (1,))[0])
+    unpack = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress, 32773: packbits_decode, 34925: lzma_decode, 50000: zstd_decode}.get(t.get(259, (1,))[0])
     fax = {2: ccittrle_decode, 3: partial(ccittfax3_decode, t4options=t.get(292, (0,))[0]), 4: ccittfax4_decode}.get(t.get(259, (1,))[0]) if bits == s == 1 else None
     if fax:
         flip = bitorder if t.get(266, (1,))[0] == 2 else bytes
@@ -759,6 +769,9 @@ def _tiff_page(data: bytes, t: dict) -> np.ndarray:
             cells = np.unpackbits(np.frombuffer(raw, np.uint8)[: len(raw) // row * row].reshape(-1, row), axis=1)[:, : tw * per]
         else:
             cells = np.frombuffer(raw, dtype)
+        if t.get(317, (1,))[0] == 3:
+            rows = cells.reshape(-1, tw * per).view(dtype.newbyteorder("="))
+            cells = floatpred_decode(rows, -1, per)
         cells = cells.ravel()[: cells.size // (tw * per) * tw * per].reshape(-1, tw, per)
         if t.get(317, (1,))[0] == 2:
             cells = np.cumsum(cells, 1, dtype=dtype.newbyteorder("="))

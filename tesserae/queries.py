@@ -155,6 +155,48 @@ _chain_trip("chain_delta_bitshuffle_zstd", [("delta", {}), ("bitshuffle", {"item
 _chain_trip("chain_xor_lzma", [("xor", {}), ("lzma", {"level": 0})], "url", pages, "page_id", "SELECT page_id, sha256(url) AS digest FROM pages")
 
 
+def _array_trip(name: str, shape: tuple[int, ...], **options):
+    """The 32 bytes of every text's digest as a small array, encoded and decoded."""
+
+    def run(spark, sf_dir):
+        data = chunk(F.unhex(F.sha2("text", 256)), "u1", shape)
+        made = registry.encode(name, data)
+        return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode(name, made, **options)["data"])).alias("digest"))
+
+    run.__name__ = f"roundtrip_{name}"
+    return query(_DOCS)(run)
+
+
+for _name in ("delta", "xor", "byteshuffle", "bitorder", "numpy", "png", "spng", "apng", "bmp", "pcx", "tiff", "ljpeg"):
+    _array_trip(_name, (4, 8))
+_array_trip("gif", (4, 8), asrgb=False)
+for _name in ("qoi", "tga"):
+    _array_trip(_name, (4, 2, 4))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def jpegsof3_decode_documents(spark, sf_dir):
+    made = registry.encode("ljpeg", chunk(F.unhex(F.sha2("text", 256)), "u1", (4, 8)))
+    return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode("jpegsof3", made)["data"])).alias("digest"))
+
+
+@query("SELECT p_partkey, p_size AS value FROM part")
+def roundtrip_plio(spark, sf_dir):
+    """Sizes as one-byte rows; decoded, they are 32-bit integers."""
+    made = registry.encode("plio", chunk(F.unhex(F.lpad(F.hex("p_size"), 2, "0")), "u1", (1,)))
+    value = F.conv(F.hex(F.reverse(F.to_binary(F.hex(registry.decode("plio", made, npix=1)["data"]), F.lit("hex")).cast("binary"))), 16, 10)
+    return part(spark, sf_dir).select("p_partkey", value.cast("int").alias("value"))
+
+
+@query()
+def jpeg_error_of_documents(spark, sf_dir):
+    """Summed differences of digests as 8 x 4 pixels from what a JPEG of level 95 gives back."""
+    data = chunk(F.unhex(F.sha2("text", 256)), "u1", (4, 8))
+    rows = documents(spark, sf_dir).select("doc_id", data["data"].alias("a"), registry.decode("jpeg", registry.encode("jpeg", data))["data"].alias("b"))
+    error = F.aggregate(F.zip_with(native.bytes_of(F.col("a")), native.bytes_of(F.col("b")), lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
+    return rows.select("doc_id", error.alias("error"))
+
+
 @query("SELECT lang, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS raw_bytes FROM documents GROUP BY lang")
 def sizes_by_language(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("raw_bytes"))

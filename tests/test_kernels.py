@@ -206,3 +206,29 @@ def test_layout():
         image_layout((), "u1")
     with pytest.raises(ValueError):
         image_layout((4, 4, 2), "u1", photometric="rgb")
+
+
+@pytest.mark.parametrize("compression", ("none", "lzw", "deflate", "packbits", "lzma", "zstd"))
+@pytest.mark.parametrize("dtype", ("u1", "u2", "i4", "f4", "f8"))
+@pytest.mark.parametrize("shape", ((31, 17), (31, 17, 3), (2, 5, 6)))
+def test_tiff_predictors(compression, dtype, shape):
+    x = (RNG.random(shape) * 250 - (dtype in ("i4", "f4", "f8")) * 100).astype(dtype)
+    for rows in (0, 4):
+        plain, coded = (I.tiff_encode(x, compression, rows, p) for p in (False, True))
+        for data in (plain, coded):
+            back = I.tiff_decode(data, None)
+            assert back.dtype == x.dtype and (back == x).all()
+        assert plain != coded
+
+
+def test_float_predictor_by_its_definition():
+    """Bytes of the floats, the highest of all first, then differences of neighbouring bytes."""
+    x = np.array([[1.5, -2.25, 3e7, 0.0]], "f4")
+    planes = x.astype(">f4").view(np.uint8).reshape(4, 4).T.ravel()
+    assert A.floatpred_encode(x).tobytes() == np.diff(planes, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+
+
+def test_apng_of_one_image():
+    for shape in ((5, 7), (5, 7, 3), (5, 7, 4)):
+        x = RNG.integers(0, 256, shape, dtype=np.uint8)
+        assert (I.apng_decode(I.apng_encode(x)).reshape(shape) == x).all()
