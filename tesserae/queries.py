@@ -180,6 +180,16 @@ def jpegsof3_decode_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode("jpegsof3", made)["data"])).alias("digest"))
 
 
+def _exr_trip(spark, sf_dir):
+    """The digest's 32 bytes as 2 x 4 unsigned samples."""
+    made = registry.encode("exr", chunk(F.unhex(F.sha2("text", 256)), "u4", (2, 4)))
+    return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode("exr", made)["data"])).alias("digest"))
+
+
+_exr_trip.__name__ = "roundtrip_exr"
+query(_DOCS)(_exr_trip)
+
+
 @query("SELECT p_partkey, p_size AS value FROM part")
 def roundtrip_plio(spark, sf_dir):
     """Sizes as one-byte rows; decoded, they are 32-bit integers."""

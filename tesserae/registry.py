@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import native
 from tesserae.operators import bilevel as B
 from tesserae.operators import compressors as C
+from tesserae.operators import exr as E
 from tesserae.operators import filters as A
 from tesserae.operators import images as I
 from tesserae.operators import jpeg as J
@@ -70,6 +71,7 @@ def _codecs() -> dict[str, Codec]:
         *[Codec(n, SERIALIZER, None, getattr(B, f"{n}_decode")) for n in ("ccittrle", "ccittfax3", "ccittfax4")],
         *[Codec(n, SERIALIZER, getattr(L, f"{n}_encode"), getattr(L, f"{n}_decode")) for n in ("plio", "pixarlog")],
         Codec("ljpeg", SERIALIZER, L.ljpeg_encode, L.ljpeg_decode, ("ljp", "ljpg", "ljpeg")),
+        Codec("exr", SERIALIZER, E.exr_encode, E.exr_decode, ("exr",)),
         Codec("jpeg", SERIALIZER, J.jpeg_encode, J.jpeg_decode, ("jpg", "jpeg", "jpe", "jfif", "jif")),
         *[Codec(n, SERIALIZER, J.jpeg8_encode, J.jpeg8_decode) for n in ("jpeg8", "mozjpeg")],
         Codec("jpegsof3", SERIALIZER, None, L.jpegsof3_decode),
@@ -78,7 +80,7 @@ def _codecs() -> dict[str, Codec]:
     absent = {
         BYTES: "aec blosc blosc2 lzfse lzham szip",
         SERIALIZER: (
-            "avif brunsli exr hcomp heif htj2k jetraw jpeg2k jpegls jpegxl jpegxr jpegxs lerc meshopt "
+            "avif brunsli hcomp heif htj2k jetraw jpeg2k jpegls jpegxl jpegxr jpegxs lerc meshopt "
             "pcodec sperr sz3 ultrahdr wavpack webp wic zfp"
         ),
         FILTER: "cms",

@@ -169,4 +169,4 @@ def test_new_codecs_as_expressions(spark):
     bad = df.select(registry.decode("jpeg", F.lit(b"abc"), on_error="null").alias("d")).collect()
     assert all(r.d is None for r in bad)
     known = {r.name: (r.can_encode, r.can_decode) for r in registry.catalog(spark).collect()}
-    assert known["ccittfax4"] == (False, True) and known["jpeg8"] == (True, True) and known["exr"] == (False, False)
+    assert known["ccittfax4"] == (False, True) and known["jpeg8"] == (True, True) and known["avif"] == (False, False)
