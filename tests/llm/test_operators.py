@@ -262,3 +262,52 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     packed = corpus_pipeline.packed(spark, out, sf)
     assert packed.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+CLASHING = ("did", "tid", "n", "h", "pos", "seed", "kind", "start", "end", "match", "found", "spans", "kept", "score", "base", "word", "key", "k", "part", "id", "hash", "line", "length", "piece", "rank", "gram", "x", "item_id")
+
+
+def plain(df):
+    """Rows of whole values, in one order; floating sums may differ in their last places."""
+    even = lambda v: round(v, 6) if isinstance(v, float) else bytes(v) if isinstance(v, bytearray) else v
+    return sorted(repr([even(v) for v in r]) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ("substring", "suffix", "lines", "near", "packing", "decontamination", "secrets", "personal", "language"))
+def test_columns_with_clashing_names_change_nothing(spark, docs, name):
+    """Nor do repeated rows, null ids and a very long text make a row go missing."""
+    long = " ".join(["a1b2c3d4e5f6 mail x.y@z.com", prose(20_000), "0" * 5000])
+    own = docs.select("doc_id", "text", "lang").unionAll(spark.createDataFrame([(50, long, "en"), (51, "x" * 100_000, None), (51, "x" * 100_000, None)], "doc_id long, text string, lang string"))
+    items = spark.createDataFrame([(5, " ".join(prose(40).split())), (5, TEXTS[1]), (None, TEXTS[0]), (6, None)], "item_id long, text string")
+    wide = lambda t: t.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING) if c not in t.columns])
+    run = {
+        "substring": substring_dedup.substring_dedup,
+        "suffix": lambda d: bwt_dedup.suffix_dedup(d, 60),
+        "lines": line_dedup.line_dedup,
+        "near": near_dedup.near_duplicates,
+        "packing": lambda d: packing.pack(d).drop("sequence_id", "offset"),
+        "decontamination": lambda d: decontamination.decontaminate(d, wide(items) if "h" in d.columns else items),
+        "secrets": secret_scan.secrets,
+        "personal": personal_data.personal_data,
+        "language": lambda d: language_id.identify(d, language_id.train(d)),
+    }[name]
+    narrow, extra = run(own), run(wide(own))
+    assert narrow.columns == extra.columns and plain(narrow) == plain(extra)
+    if name == "packing":
+        assert narrow.where("piece = 0").count() == own.count()
+    else:
+        assert narrow.count() == own.count()
+
+
+def test_nearest_with_ties_and_clashing_columns(spark):
+    """Equal vectors come by their ids; a repeated id is a row of its own; other columns are ignored."""
+    x = RNG.normal(size=(45, 8))
+    x[10:15] = x[0]
+    rows = [(i, v.tolist(), 7) for i, v in enumerate(x)] + [(None, x[1].tolist(), 7), (44, [None] * 8, 7), (45, [float("inf")] * 8, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    wide = df.select("*", *[F.lit(1).alias(c) for c in ("score", "query_id", "code", "part", "norm", "id", "v")])
+    got = hamming_index.nearest(wide, wide.where("vec_id % 20 = 0"), 50).orderBy("query_id", "rank").toPandas()
+    assert set(got.query_id) == {0, 20, 40} and got[got.query_id == 0].vec_id.isin(range(10, 15)).sum() == 5
+    first = got[got.query_id == 0]
+    same = first[first.vec_id.isin(range(10, 15))]
+    assert same.vec_id.tolist() == [10, 11, 12, 13, 14] and same["rank"].diff().dropna().eq(1).all()
