@@ -44,11 +44,11 @@ class _Reader:
             raise CodecError("scan is too short")
         return self.words[at >> 3] >> 32 - n - (at & 7) & (1 << n) - 1
 
-    def symbol(self, table: list) -> int:
-        at = self.at
+    def symbol(self, huffman: tuple[list, int]) -> int:
+        at, (table, longest) = self.at, huffman
         if at >= self.end:
             raise CodecError("scan is too short")
-        found = table[self.words[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+        found = table[self.words[at >> 3] >> 32 - longest - (at & 7) & (1 << longest) - 1]
         if found is None:
             raise CodecError("no such Huffman code")
         self.at = at + found[1]
@@ -82,7 +82,7 @@ class _Scan:
     def restart(self, reader: _Reader, n: int) -> None:
         self.r, self.last, self.skip = reader, [0] * n, 0
 
-    def block(self, j: int, c: _Component, at: int, dc: list | None, ac: list | None) -> None:
+    def block(self, j: int, c: _Component, at: int, dc: tuple | None, ac: tuple | None) -> None:
         r, out = self.r, c.coefficients
         if self.low == 0:
             if self.refine:
@@ -113,7 +113,7 @@ class _Scan:
                 self.skip = (1 << run) + r.bits(run) - 1
                 return
 
-    def refined(self, out: list[int], at: int, k: int, ac: list) -> None:
+    def refined(self, out: list[int], at: int, k: int, ac: tuple) -> None:
         r, one = self.r, 1 << self.shift
         if not self.skip:
             while k <= self.high:
@@ -145,7 +145,7 @@ class _Scan:
             out[place] += one if out[place] > 0 else -one
 
 
-def _run_scan(parts: list[bytes], scan: _Scan, own: list[tuple[_Component, list, list]], every: int, mcus: tuple[int, int]) -> None:
+def _run_scan(parts: list[bytes], scan: _Scan, own: list[tuple[_Component, tuple, tuple]], every: int, mcus: tuple[int, int]) -> None:
     if len(own) == 1:
         c = own[0][0]
         n = c.across * c.down
@@ -252,6 +252,8 @@ def jpeg8_decode(data: bytes, tables: bytes | None = None, colorspace: str | Non
             own = [(named[body[1 + 2 * j]], huffman.get(body[2 + 2 * j] >> 4), huffman.get(16 | body[2 + 2 * j] & 15)) for j in range(n)]
             low, high, past = body[1 + 2 * n : 4 + 2 * n]
             parts, i = scan_parts(data, i)
+            if any(dc is None and body[1 + 2 * n] == 0 and body[3 + 2 * n] < 16 or ac is None and body[2 + 2 * n] for _, dc, ac in own):
+                raise CodecError("no Huffman table")
             scans += 1
             _run_scan(parts, _Scan(low, high, bool(past >> 4), past & 15), own, every, mcus)
     if not scans:

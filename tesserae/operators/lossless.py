@@ -6,7 +6,7 @@ import heapq
 import math
 import struct
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -40,23 +40,25 @@ def _restored(d: np.ndarray, predictor: int, start: int) -> np.ndarray:
     return out
 
 
-def huffman_table(counts: bytes, symbols: bytes) -> list:
-    """(symbol, code length) for every value of the next 16 bits."""
-    table: list = [None] * 65536
+@lru_cache(64)
+def huffman_table(counts: bytes, symbols: bytes) -> tuple[list, int]:
+    """(symbol, code length) for every value of the next bits, as many as the longest code word has, and that number."""
+    longest = max((k for k in range(1, 17) if counts[k - 1]), default=1)
+    table: list = [None] * (1 << longest)
     code, k = 0, 0
-    for size in range(1, 17):
+    for size in range(1, longest + 1):
+        width = 1 << longest - size
         for _ in range(counts[size - 1]):
-            width = 1 << 16 - size
-            at = code << 16 - size
-            if at + width > 65536 or k >= len(symbols):
+            at = code * width
+            if at + width > len(table) or k >= len(symbols):
                 raise CodecError("Huffman table overflows")
             table[at : at + width] = [(symbols[k], size)] * width
             code, k = code + 1, k + 1
         code <<= 1
-    return table
+    return table, longest
 
 
-def _differences(scan: bytes, tables: list[list], n: int) -> np.ndarray:
+def _differences(scan: bytes, tables: list[tuple[list, int]], n: int) -> np.ndarray:
     """n differences, of the components in turn."""
     raw = np.frombuffer(scan.replace(b"\xff\x00", b"\xff") + bytes(8), np.uint8).astype(np.int64)
     words = (raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]).tolist()
@@ -65,7 +67,8 @@ def _differences(scan: bytes, tables: list[list], n: int) -> np.ndarray:
     for i in range(n):
         if at > end:
             raise CodecError("scan is too short")
-        found = tables[i % turns][words[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+        table, longest = tables[i % turns]
+        found = table[words[at >> 3] >> 32 - longest - (at & 7) & (1 << longest) - 1]
         if found is None:
             raise CodecError("no such Huffman code")
         size, length = found
