@@ -1,6 +1,6 @@
 """Baseline and progressive JPEG: decoding of any 8- or 12-bit Huffman-coded image, encoding of baseline ones.
 
-The transform is computed in floating point; samples may differ by one from those of integer transforms.
+The transform is computed in floating point; samples may differ slightly from those of integer transforms.
 """
 
 from __future__ import annotations
