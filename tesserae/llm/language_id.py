@@ -8,7 +8,7 @@ Ney in the interpolated form, with discount n1 / (n1 + 2 n2) per order. The log
 sorted key arrays, one per order; a text takes the longest order it finds.
 
 The language with the lowest cross-entropy per symbol wins. A bounded calibration sample (CALIBRATION labelled
-training rows, chosen by a hash of doc_id, not used for the counts) gives the temperature of the score and, for each
+training rows, chosen by a hash of doc_id; only they are left out of the counts) gives the temperature of the score and, for each
 language, the spread of the cross-entropy against the length; texts far above it (`accepted` false) are rejected.
 
 Nulls: a null text, or one without a letter, is `und` with score 0 and not accepted. A null doc_id counts as the
@@ -293,17 +293,24 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
     return model
 
 
+def calibration(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows to count and about CALIBRATION rows, at most a quarter, to calibrate on, by a hash of doc_id. A language
+    of which the hash would leave nothing to count gives no calibration row."""
+    n = labelled.count()
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(0.25, CALIBRATION / max(n, 1)))
+    rare = [r["lang"] for r in labelled.groupBy("lang").agg(F.count_if(~picked).alias("left")).where("left = 0").collect()]
+    picked = picked & ~F.col("lang").isin(rare)
+    return labelled.where(~picked), labelled.where(picked)
+
+
 def train(docs: DataFrame) -> Model | None:
-    """A model from the labelled rows out of fold 0: fold 1 calibrates, the others are counted."""
-    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("fold", fold(F.col("doc_id")))
-    counts = bounded(count_keys(labelled.where("fold > 1"))).toPandas()
+    """A model from the labelled rows out of fold 0: all are counted but the calibration rows."""
+    counted, sample = calibration(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 0))
+    counts = bounded(count_keys(counted)).toPandas()
     if counts.empty:
         return None
     model = fit(counts, sorted(counts.lang.unique().tolist()))
-    spare = labelled.where("fold = 1")
-    n = spare.count()
-    pick = spare.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION / max(n, 1))))
-    return calibrate(model, pick.where(F.col("lang").isin(model.languages)))
+    return calibrate(model, sample.where(F.col("lang").isin(model.languages)))
 
 
 def identify(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:

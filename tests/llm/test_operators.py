@@ -232,6 +232,24 @@ def test_languages_held_out(spark, sf, empty):
     assert language_id.train(empty) is None and language_id.identify(odd, None).first()["lang_pred"] == "und"
 
 
+def test_languages_learn_every_training_row(spark):
+    """Also a language whose only rows have the remainder 1, or would all calibrate."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    ones = [i for i in ids if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    rows = [(i, prose(30), "en") for i in ids[:200] if i not in ones] + [(i, "жил был у бабушки серенький козлик " * 3, "ru") for i in ones]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == ["en", "ru"]
+    got = rows_of(language_id.identify(docs, model))
+    assert {got[i]["lang_pred"] for i in ones} == {"ru"}
+    counted, sample = language_id.calibration(docs)
+    assert counted.count() + sample.count() == len(rows) and 0 < sample.count() < len(rows) / 2
+    one = docs.where("lang = 'ru'").limit(1).unionAll(docs.where("lang = 'en'"))
+    for k in range(8):  # a single row, wherever its hash puts it
+        counted, sample = language_id.calibration(one.withColumn("doc_id", F.when(F.col("lang") == "ru", F.lit(ids[k + 300])).otherwise(F.col("doc_id"))))
+        assert counted.where("lang = 'ru'").count() == 1
+
+
 def test_nearest(spark):
     x = RNG.normal(size=(600, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, x[3].tolist())]
