@@ -2,10 +2,16 @@
 
 Texts become lower-case letters with one space for every run of other characters. Four consecutive symbols (16 bits
 each) form one 64-bit key. Each language's keys are counted over all training documents, in the scan tasks and then
-in one aggregate; what the driver fetches is bounded (at most MODEL_KEYS keys in all, the most frequent of each
-language, chosen by a histogram of the counts). Discounts, continuation counts and back-off weights follow Kneser and
-Ney in the interpolated form, with discount n1 / (n1 + 2 n2) per order. The log probabilities of all languages lie in
-sorted key arrays, one per order; a text takes the longest order it finds.
+in one aggregate, and all of them enter the model. Discounts, continuation counts and back-off weights follow Kneser
+and Ney in the interpolated form, with discount n1 / (n1 + 2 n2) per order; the counts of all orders and the discounts
+come from Spark, over all keys. The log probabilities of all languages lie in sorted key arrays, one per order; a text
+takes the longest order it finds.
+
+The model grows with the input: keys of 4 and 3 symbols are dealt over as many shards as hold SHARD_CELLS values (keys
+times languages) each, by their two middle symbols (a 4-gram, its context, the 3-gram it backs off to and that one's
+context meet in one shard). The driver builds one shard at a time and broadcasts it; a task that judges texts reads
+the shards one after another for every GROUP characters. Keys of 2 symbols and 1 are in every task, as are all keys
+if one shard holds them.
 
 The language with the lowest cross-entropy per symbol wins. A bounded calibration sample (CALIBRATION labelled
 training rows, chosen by a hash of doc_id; only they are left out of the counts) gives the temperature of the score and, for each
@@ -18,17 +24,22 @@ empty string for the folds (held out). Rows with a null lang train nothing. With
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import process_cache
+from tesserae.llm.common import drop_written, process_cache, written
 
 ORDER = 4
-MODEL_KEYS = 2_000_000
+#: Distinct 4-grams times languages that one shard of the model holds, about.
+SHARD_CELLS = 8_000_000
+#: Keys that a counting task holds before it passes them on.
+HELD_KEYS = 2_000_000
+#: Characters of texts that meet all shards together, if there are several.
+GROUP = 4_000_000
 CALIBRATION = 4_000
 #: Characters looked up at once.
 BLOCK = 400_000
@@ -103,23 +114,55 @@ def blocks(texts: list):
         yield i, held
 
 
+def shard_of(k, n: int):
+    """The shard of a key of 3 symbols or 4, of n, by the two symbols before its last (numpy or Column)."""
+    middle = k.bitwiseAND(F.lit((1 << 48) - 1)) if isinstance(k, Column) else k & np.uint64((1 << 48) - 1)
+    if isinstance(k, Column):
+        return (F.shiftright(middle, 16) % 1_000_003 * 7919 % 1_000_003 % n).cast("int")
+    return ((middle >> np.uint64(16)) % np.uint64(1_000_003) * np.uint64(7919) % np.uint64(1_000_003) % np.uint64(n)).astype(np.int64)
+
+
+#: Tables of two orders: the longer first, sorted keys and log probabilities [key, language] in base e; and sorted
+#: contexts and log back-off weights [context, language] of both.
+Tables = tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]
+
+
 @dataclass
 class Model:
     languages: list[str]
-    #: For each order from ORDER down to 1: sorted keys, and log probabilities [key, language] in base e.
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    #: For each order from ORDER down to 2: sorted contexts, and log back-off weights [context, language].
-    back: list[tuple[np.ndarray, np.ndarray]]
+    #: Keys of 2 symbols and of 1.
+    low: Tables
+    #: Broadcast tables of the keys of 4 symbols and 3 (type Tables), in order.
+    shards: list
     unseen: float
     temperature: float = 1.0
     #: For each language: mean cross-entropy, variance of a long text's, and of one symbol's.
     spread: np.ndarray | None = None
     limit: float = 6.0
 
+    def shard(self, i: int) -> Tables:
+        shared = self.shards[i]
+        if len(self.shards) == 1 or shared._path is None:
+            return shared.value
+        return shared.load_from_path(shared._path)  # not kept
+
     def entropy(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy of every text under every language, its symbols and its letters."""
         total = np.zeros((len(texts), len(self.languages)))
         n, inked = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        held, size = [], 0
+
+        def solve():
+            for shard in range(len(self.shards)) if held else ():
+                tables = self.shard(shard)
+                for rows, k, at in held:
+                    own = np.ones(len(k), bool) if len(self.shards) == 1 else shard_of(k, len(self.shards)) == shard
+                    score = np.zeros((len(k) + 1, len(self.languages)))
+                    score[1:][own] = self.log_p(k[own], tables)
+                    np.cumsum(score, 0, out=score)
+                    np.add.at(total, rows, score[at[1:]] - score[at[:-1]])
+            held.clear()
+
         for i, part in blocks(texts):
             s, at = symbols(part)
             k, at_k = keys(s, at)
@@ -127,27 +170,32 @@ class Model:
             ink = np.r_[0, np.cumsum(s != SPACE)]
             np.add.at(inked, rows, ink[at[1:]] - ink[at[:-1]])
             np.add.at(n, rows, np.diff(at_k))
-            score = np.cumsum(np.vstack([np.zeros((1, len(self.languages))), self.log_p(k)]), 0)
-            np.add.at(total, rows, score[at_k[1:]] - score[at_k[:-1]])
+            held.append((rows, k, at_k))
+            size += len(k)
+            if len(self.shards) == 1 or size > GROUP:
+                solve()
+                size = 0
+        solve()
         return -total / np.maximum(n, 1)[:, None], n, inked
 
-    def log_p(self, k: np.ndarray) -> np.ndarray:
+    def log_p(self, k: np.ndarray, tables: Tables) -> np.ndarray:
         out = np.zeros((len(k), len(self.languages)), np.float32)
         left = np.arange(len(k))
+        grams, back = tables[0] + self.low[0], tables[1] + self.low[1]
         for j in range(ORDER):  # the longest order first
-            own, table = self.grams[j]
+            own, table = grams[j]
             q = k[left] & np.uint64((1 << 16 * (ORDER - j)) - 1)
-            i = np.minimum(np.searchsorted(own, q), len(own) - 1)
-            hit = own[i] == q
+            i = np.minimum(np.searchsorted(own, q), max(len(own) - 1, 0))
+            hit = own[i] == q if len(own) else np.zeros(len(q), bool)
             out[left[hit]] += table[i[hit]]
             left, q = left[~hit], q[~hit]
             if not len(left):
                 return out
             if j < ORDER - 1:
-                contexts, weights = self.back[j]
+                contexts, weights = back[j]
                 c = q >> np.uint64(16)
-                i = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
-                known = contexts[i] == c
+                i = np.minimum(np.searchsorted(contexts, c), max(len(contexts) - 1, 0))
+                known = contexts[i] == c if len(contexts) else np.zeros(len(c), bool)
                 out[left[known]] += weights[i[known]]
             else:
                 out[left] += np.float32(self.unseen)
@@ -189,79 +237,102 @@ def count_keys(train: DataFrame) -> DataFrame:
                         k, i = np.unique(np.r_[a, k], return_inverse=True)
                         n = np.bincount(i, np.r_[b, n]).astype(np.int64)
                     held[lang] = (k, n)
-            if sum(len(k) for k, _ in held.values()) > MODEL_KEYS:
+            if sum(len(k) for k, _ in held.values()) > HELD_KEYS:
                 yield from out()
         yield from out()
 
     return train.select("lang", "text").mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame) -> DataFrame:
-    """The most frequent keys of each language, at most MODEL_KEYS / languages of each, by a least count."""
-    sizes = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("m")).toPandas()
-    if sizes.empty:
-        return counts
-    share = max(1, MODEL_KEYS // sizes.lang.nunique())
-    least = {}
-    for lang, own in sizes.groupby("lang"):
-        own = own.sort_values("n", ascending=False)
-        fits = own[own.m.cumsum() <= share]
-        least[lang] = int(fits.n.min()) if len(fits) else 1001
-    pairs = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
-    return counts.where(F.col("n") >= pairs[F.col("lang")])
-
-
-def fit(counts, languages: list[str]) -> Model:
-    """counts: pandas frame of lang, k, n."""
-    orders = [{} for _ in range(ORDER)]  # per language: keys, adjusted counts
-    for lang in languages:
-        own = counts[counts.lang == lang]
-        k, n = own.k.to_numpy(np.int64).view(np.uint64), own.n.to_numpy(np.int64)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        for j in range(ORDER):
-            orders[j][lang] = (k, n)
-            width = 16 * (ORDER - j - 1)
-            k, n = np.unique(k & np.uint64((1 << width) - 1), return_counts=True) if width else (k[:0], n[:0])
-    alphabet = len(np.unique(np.concatenate([orders[-1][x][0] for x in languages]))) + 1
-    every, backs = [], []
-    lower_keys, lower_p = None, None
-    for j in reversed(range(ORDER)):  # from single symbols up
-        union = np.unique(np.concatenate([orders[j][x][0] for x in languages]))
-        context = union >> np.uint64(16)
-        if j == ORDER - 1:
-            below = np.full((len(union), len(languages)), 1 / alphabet)
-        else:
-            below = lower_p[np.searchsorted(lower_keys, union & np.uint64((1 << 16 * (ORDER - j - 1)) - 1))]
-        contexts, of = np.unique(context, return_inverse=True)
-        p, back = np.empty_like(below), np.ones((len(contexts), len(languages)))
-        for i, lang in enumerate(languages):
-            k, n = orders[j][lang]
-            n1, n2 = (n == 1).sum(), (n == 2).sum()
-            d = float(n1 / (n1 + 2 * n2)) if n1 and n2 else 0.5
-            c = np.zeros(len(union))
-            c[np.searchsorted(union, k)] = n
-            total = np.bincount(of, c, len(contexts))
-            kinds = np.bincount(of, c > 0, len(contexts))
-            weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            p[:, i] = np.maximum(c - d, 0) / np.maximum(total, 1)[of] + weight[of] * below[:, i]
-            back[:, i] = weight
-        every.append((union, np.log(p).astype(np.float32)))
-        if j < ORDER - 1:
-            backs.append((contexts, np.log(back).astype(np.float32)))
-        else:
-            unseen = float(np.log(1 / alphabet))
-            rest = np.log(back[0]).astype(np.float32)
-            every[-1] = (union, every[-1][1])
-            unseen += float(rest.mean())
-        lower_keys, lower_p = union, p
-    return Model(languages, every[::-1], backs[::-1], unseen)
+def discounts(counts: DataFrame, languages: list[str]) -> np.ndarray:
+    """Kneser and Ney's discount of each language: n1 / (n1 + 2 n2), over all keys of one order."""
+    got = {r["lang"]: r for r in counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+    return np.array([r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5 for r in (got[x] for x in languages)])
+
+
+def shorter(counts: DataFrame, order: int) -> DataFrame:
+    """Continuation counts of the keys of `order` symbols: how many keys of one symbol more end in each."""
+    return counts.groupBy("lang", F.col("k").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("k")).agg(F.count("*").alias("n"))
+
+
+def fetched(counts: DataFrame, languages: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys, and counts, of each language."""
+    number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(i)) for i, x in enumerate(languages)])
+    got = counts.select(number.alias("i"), "k", "n").toArrow()
+    lang, k, n = got["i"].to_numpy(), got["k"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.lexsort((k, lang))
+    lang, k, n = lang[order], k[order], n[order]
+    at = np.searchsorted(lang, np.arange(len(languages) + 1))
+    return [(k[a:b], n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def interpolate(counts: list, discount: np.ndarray, order: int, lower: tuple[np.ndarray, np.ndarray] | float):
+    """Keys of `order` symbols with their probabilities, and contexts with their back-off weights, given those of the
+    order below."""
+    union = np.unique(np.concatenate([k for k, _ in counts]))
+    if isinstance(lower, float):
+        below = np.full((len(union), len(counts)), lower)
+    else:
+        below = lower[1][np.searchsorted(lower[0], union & np.uint64((1 << 16 * (order - 1)) - 1))]
+    contexts, of = np.unique(union >> np.uint64(16), return_inverse=True)
+    p, back = np.empty_like(below), np.ones((len(contexts), len(counts)))
+    for i, (k, n) in enumerate(counts):
+        c = np.zeros(len(union))
+        c[np.searchsorted(union, k)] = n
+        total = np.bincount(of, c, len(contexts))
+        kinds = np.bincount(of, c > 0, len(contexts))
+        weight = np.where(total > 0, discount[i] * kinds / np.maximum(total, 1), 1.0)
+        p[:, i] = np.maximum(c - discount[i], 0) / np.maximum(total, 1)[of] + weight[of] * below[:, i]
+        back[:, i] = weight
+    return union, p, contexts, back
+
+
+def logs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys, np.log(values).astype(np.float32)
+
+
+def fit(counts: DataFrame) -> Model | None:
+    """A model from the table lang, k, n of all keys of 4 symbols."""
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not languages:
+        return None
+    n = max(1, -(-counts.select("k").distinct().count() * len(languages) // SHARD_CELLS))
+    thirds = written(shorter(counts, 3), "thirds")
+    seconds = shorter(thirds, 2)
+    seen = fetched(seconds, languages)
+    firsts = [np.unique(k & np.uint64(0xFFFF), return_counts=True) for k, _ in seen]
+    alphabet = len(np.unique(np.concatenate([k for k, _ in firsts]))) + 1
+
+    def discount(own):
+        n1, n2 = np.array([[(n == 1).sum(), (n == 2).sum()] for _, n in own], float).T
+        return np.where((n1 > 0) & (n2 > 0), n1 / np.maximum(n1 + 2 * n2, 1), 0.5)
+
+    k1, p1, c1, b1 = interpolate(firsts, discount(firsts), 1, 1 / alphabet)
+    k2, p2, c2, b2 = interpolate(seen, discount(seen), 2, (k1, p1))
+    d3, d4 = discounts(thirds, languages), discounts(counts, languages)
+    shards = []
+    for i in range(n):
+        own = lambda t: fetched(t.where(shard_of(F.col("k"), n) == i) if n > 1 else t, languages)  # noqa: B023, E731
+        k3, p3, c3, b3 = interpolate(own(thirds), d3, 3, (k2, p2))
+        k4, p4, c4, b4 = interpolate(own(counts), d4, 4, (k3, p3))
+        shards.append(counts.sparkSession.sparkContext.broadcast(([logs(k4, p4), logs(k3, p3)], [logs(c4, b4), logs(c3, b3)])))
+    drop_written(thirds)
+    unseen = float(np.log(1 / alphabet)) + float(np.log(b1[0]).astype(np.float32).mean())
+    return Model(languages, ([logs(k2, p2), logs(k1, p1)], [logs(c2, b2)]), shards, unseen)
+
+
+def sharing(model: Model, spark):
+    """A broadcast of the model without its shards, and these: broadcasts go to tasks by themselves."""
+    return spark.sparkContext.broadcast(replace(model, shards=[])), model.shards
 
 
 def calibrate(model: Model, sample: DataFrame) -> Model:
     """Sets the temperature, the spread and the limit from labelled rows."""
 
+    shared, shards = sharing(model, sample.sparkSession)
+
     def measure(batches):
+        model = replace(shared.value, shards=shards)
         for batch in batches:
             h, n, inked = model.entropy(batch.column(1).to_pylist())
             ok = inked > 0
@@ -306,10 +377,11 @@ def calibration(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 def train(docs: DataFrame) -> Model | None:
     """A model from the labelled rows out of fold 0: all are counted but the calibration rows."""
     counted, sample = calibration(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 0))
-    counts = bounded(count_keys(counted)).toPandas()
-    if counts.empty:
+    counts = written(count_keys(counted), "counts")
+    model = fit(counts)
+    drop_written(counts)
+    if model is None:
         return None
-    model = fit(counts, sorted(counts.lang.unique().tolist()))
     return calibrate(model, sample.where(F.col("lang").isin(model.languages)))
 
 
@@ -318,10 +390,10 @@ def identify(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id")) == 0).alias("held_out"), *[F.col(c).alias(f"_{c}") for c in more])
     names = ["doc_id", "text", "held_out", "lang_pred", "score", "entropy", "accepted", *more]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, shards = (None, None) if model is None else sharing(model, docs.sparkSession)
 
     def judge(batches):
-        model = shared.value
+        model = shared and replace(shared.value, shards=shards)
         for b in batches:
             texts = b.column(1).to_pylist()
             if model is None:

@@ -250,6 +250,25 @@ def test_languages_learn_every_training_row(spark):
         assert counted.where("lang = 'ru'").count() == 1
 
 
+def test_language_model_holds_every_key(spark, sf, monkeypatch):
+    """One shard or many: the same model, of all keys and with the discounts over all keys."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counted, _ = language_id.calibration(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(language_id.fold(F.col("doc_id")) != 0))
+    want = {r["k"] % 2**64 for r in language_id.count_keys(counted).select("k").distinct().collect()}
+    got = []
+    for cells in (10**9, 4 * len(want) // 5):
+        for name in ("SHARD_CELLS", "MODEL_KEYS"):
+            monkeypatch.setattr(language_id, name, cells, raising=False)
+        monkeypatch.setattr(language_id, "GROUP", 50_000, raising=False)
+        model = language_id.train(docs)
+        shards = [b.value for b in model.shards]
+        assert (len(shards) == 1) == (cells == 10**9)
+        have = [k for (grams, _) in shards for k in grams[0][0].tolist()]
+        assert len(have) == len(want) and set(have) == want
+        got.append(language_id.identify(docs, model).drop("text").toPandas().sort_values("doc_id", ignore_index=True))
+    assert (got[0].lang_pred == got[1].lang_pred).all() and np.allclose(got[0].entropy, got[1].entropy, rtol=1e-4, equal_nan=True)
+
+
 def test_nearest(spark):
     x = RNG.normal(size=(600, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, x[3].tolist())]
