@@ -1,15 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Tokens are the lower-case runs of letters and digits. A mask of SPAN token positions reads some and ignores the others;
-the hashes under every mask of every place of the test items are joined with those of the documents. Around a hit, the
-aligned window of WINDOW tokens (the whole item, if it has fewer) is compared token by token; where at least
-`similar` of them agree, substitutions included, the document holds the item.
+Tokens are the lower-case runs of letters and digits. A mask reads some token positions and ignores the others; the
+hashes under every mask of every place of the test items are joined with those of the documents. Along a hit's
+alignment every window of WINDOW tokens (the whole item, if it has fewer) that holds the hit is compared token by
+token; where at least `similar` of them agree in one, substitutions included, the document holds the item.
+
+MASKS and MORE_MASKS together miss no window of 10 to 20 tokens at 0.8: for each of these widths, every choice of up to
+a fifth of the places as substitutions leaves some mask untouched (tests enumerate them). Items of LEAST to
+SPAN - 1 tokens are cut in three blocks and hashed without one of them, each in turn, so one substitution, all that 0.8
+lets through, is never missed either. Below `similar` = 0.8 some windows are missed.
 
 The items' seeds are broadcast while they are at most BROADCAST_SEEDS; beyond it Spark shuffles both sides.
-Items with one token sequence count as one, named by their smallest item_id. Items of 5 to SPAN - 1 tokens must occur
-as they are; shorter ones are no evidence. Nulls: a null text, item or item_id takes no part; a document with a null
-text is clean. Rows with one doc_id and one text get equal results. An empty benchmark leaves all clean. Other columns
-are ignored.
+Items with one token sequence count as one, named by their smallest item_id. Items under LEAST tokens are no evidence.
+Nulls: a null text, item or item_id takes no part; a document with a null text is clean. Rows with one doc_id and one
+text get equal results. An empty benchmark leaves all clean. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import keyed_documents
 
 MASKS = ((0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 8, 9))
+#: With these the masks leave no gap from SPAN to WINDOW tokens.
+MORE_MASKS = ((0, 1, 3, 4, 6), (0, 2, 6, 7, 8))
 SPAN = 10
 WINDOW = 20
 LEAST = 5
@@ -30,11 +36,40 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row for each place and mask of h, an array of token hashes; h itself is left behind."""
-    at = rows.where(F.size("h") >= SPAN).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("pos"))
-    each = F.array(*[F.xxhash64(F.lit(i), *[F.col("h")[F.col("pos") + k] for k in mask]) for i, mask in enumerate(MASKS)])
-    return at.select(*keep, "pos", F.size("h").alias("n"), F.explode(each).alias("seed"))
+def blocks(n: int) -> list[tuple[int, ...]]:
+    """For items of n tokens: the places outside each of three blocks."""
+    cut = [0, n // 3, n - n // 3, n]
+    return [tuple(k for k in range(n) if not a <= k < b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def seeds(rows: DataFrame, masks, least: int, *keep: str) -> DataFrame:
+    """One row for each place and mask of h, an array of at least `least` token hashes; h itself is left behind."""
+    at = rows.where(F.size("h") >= least).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.size("h") - 1 - min(m[-1] for m in masks))).alias("pos"))
+    each = [F.when(F.col("pos") + m[-1] < F.size("h"), F.xxhash64(F.lit(i), *[F.get("h", F.col("pos") + k) for k in m])) for i, m in enumerate(masks)]
+    return at.select(*keep, "pos", F.size("h").alias("n"), F.explode(F.array(*each)).alias("seed")).where("seed is not null")
+
+
+def hits(keyed: DataFrame, items: DataFrame, masks, least: int) -> DataFrame:
+    """did, tid, item_id, d, width, g: g is the stretch of the item that windows with the hit reach, at d of the text."""
+    begin = F.greatest(F.lit(0), F.col("q") + min(m[-1] for m in masks) + 1 - WINDOW)
+    test = seeds(items.withColumn("g", F.col("h")), masks, least, "item_id", "g").withColumnRenamed("pos", "q")
+    test = test.select("item_id", "seed", (begin - F.col("q")).alias("ahead"), F.least(F.lit(WINDOW), F.size("g")).alias("width"), F.slice("g", begin + 1, F.col("q") + WINDOW - begin).alias("g"))
+    if test.count() <= BROADCAST_SEEDS:
+        test = F.broadcast(test)
+    found = seeds(keyed, masks, least, "did", "tid").join(test, "seed").withColumn("d", F.col("pos") + F.col("ahead"))
+    # some window lies within the text
+    found = found.where(F.least(F.col("n"), F.col("d") + F.size("g")) - F.greatest(F.lit(0), F.col("d")) >= F.col("width"))
+    return found.select("did", "tid", "item_id", "d", "width", "g")
+
+
+def best_share(h: Column, x: Column) -> Column:
+    """The largest share of equal tokens in a window of x.width tokens of x.g, laid on h at x.d."""
+    total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, b: a + b)
+    skip = F.greatest(F.lit(0), -x["d"])
+    size = F.least(F.size(x["g"]) - skip, F.size(h) - x["d"] - skip)
+    equal = F.zip_with(F.slice(h, x["d"] + skip + 1, size), F.slice(x["g"], skip + 1, size), lambda a, b: (a == b).cast("int"))
+    windows = F.transform(F.array(equal), lambda e: F.array_max(F.transform(F.sequence(F.lit(1), F.size(e) - x["width"] + 1), lambda k: total(F.slice(e, k, x["width"])))))
+    return windows[0] / x["width"]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) -> DataFrame:
@@ -45,27 +80,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) ->
     items = items.where(F.size("h") >= LEAST)
     keyed = keyed_documents(docs).where("text is not null").select("did", "tid", hashed("text").alias("h"))
 
-    # of each seed, the window of its item that is to be compared: begin, width and token hashes
-    width = F.least(F.lit(WINDOW), F.size("g"))
-    begin = F.greatest(F.lit(0), F.least(F.col("q") + SPAN // 2 - (width / 2).cast("int"), F.size("g") - width))
-    test = seeds(items.withColumn("g", F.col("h")), "item_id", "g").withColumnRenamed("pos", "q").select("item_id", "seed", (begin - F.col("q")).alias("ahead"), width.alias("width"), F.slice("g", begin + 1, width).alias("g"))
-    if test.count() <= BROADCAST_SEEDS:
-        test = F.broadcast(test)
-    hit = seeds(keyed, "did", "tid").join(test, "seed").withColumn("d", F.col("pos") + F.col("ahead")).where("d >= 0 and d + width <= n")
-    hit = hit.select("did", "tid", "item_id", "d", "width", "g").distinct().groupBy("did", "tid").agg(F.collect_list(F.struct("item_id", "d", "width", "g")).alias("hits"))
+    hit = hits(keyed, items.where(F.size("h") >= SPAN), MASKS + MORE_MASKS, SPAN)
+    for n in sorted(r["n"] for r in items.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect()):  # at most SPAN - LEAST lengths
+        hit = hit.unionAll(hits(keyed, items.where(F.size("h") == n), blocks(n), n))
+    hit = hit.distinct().groupBy("did", "tid").agg(F.collect_list(F.struct("item_id", "d", "width", "g")).alias("hits"))
     both = keyed.join(hit, ["did", "tid"])
-    equal = lambda x: F.aggregate(F.zip_with(F.slice(F.col("h"), x["d"] + 1, x["width"]), x["g"], lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-    shares = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), (equal(x) / x["width"]).alias("share")))
+    shares = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), best_share(F.col("h"), x).alias("share")))
     hit = both.select("did", "tid", F.explode(F.filter(shares, lambda x: x["share"] >= similar)).alias("x")).select("did", "tid", "x.item_id", "x.share")
-
-    short = items.where(F.size("h") < SPAN).select("item_id", F.col("h").alias("g"), F.size("h").alias("n"))
-    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # at most SPAN - LEAST lengths
-        own = short.where(F.col("n") == n).select("item_id", F.xxhash64(*[F.col("g")[k] for k in range(n)]).alias("seed"))
-        if own.count() <= BROADCAST_SEEDS:
-            own = F.broadcast(own)
-        at = keyed.where(F.size("h") >= n).select("did", "tid", "h", F.explode(F.sequence(F.lit(0), F.size("h") - n)).alias("pos"))
-        at = at.select("did", "tid", F.xxhash64(*[F.col("h")[F.col("pos") + k] for k in range(n)]).alias("seed"))
-        hit = hit.unionAll(at.join(own, "seed").select("did", "tid", "item_id", F.lit(1.0).alias("share")))
     return hit.groupBy("did", "tid", "item_id").agg(F.max("share").alias("best")).groupBy("did", "tid").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.max("best").alias("best"))
 
 
