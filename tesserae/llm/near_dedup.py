@@ -8,7 +8,8 @@ Documents with equal sets form one class from the start, and only the class goes
 cost one row. Buckets with the same members in several bands count once. A bucket is dealt over tiles of at most two
 chunks of about TILE members; in a tile all pairs are compared on their full sets at once (a product of occurrence
 matrices), and the links of a spanning forest leave it, never all pairs. Links are then closed to components.
-With BANDS x ROWS = 16 x 4 a pair at the similarity of 0.85 is missed with probability (1 - 0.85^4)^16 = 7.5e-6.
+With BANDS x ROWS = 16 x 4 a pair at the similarity of 0.85 is missed with probability (1 - 0.85^4)^16 = 7.5e-6; a lower
+similarity takes more bands (at 0.8, 23 bands miss (1 - 0.8^4)^23 = 5.4e-6).
 
 Nulls and texts without words: an empty set, linked with nothing. A null doc_id: n_shingles is given, it is linked
 with nothing and kept. Rows that share a doc_id count as one document. An empty table gives an empty result.
@@ -74,7 +75,7 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return best
 
 
-def profiles(keyed: DataFrame) -> DataFrame:
+def profiles(keyed: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """did, tid, n_shingles, digest of the set, bands (a hash of each band's coordinates; none for an empty set)."""
 
     def make(batches):
@@ -84,7 +85,7 @@ def profiles(keyed: DataFrame) -> DataFrame:
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if len(s):
-                    x = splitmix(signature(s, BANDS * ROWS).astype(np.uint64).reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    x = splitmix(signature(s, n_bands * ROWS).astype(np.uint64).reshape(n_bands, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     bands.append(splitmix((x * np.array([3, 5, 7, 9], np.uint64)).sum(1)).view(np.int64))
                 else:
                     bands.append(None)
@@ -199,10 +200,10 @@ TILE_NAMES = ["band", "key", "x", "y", "rep", "items"]
 TILE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS) -> DataFrame:
     """did, tid, doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every document."""
     keyed = keyed_documents(docs)
-    made = written(profiles(keyed), "profiles")
+    made = written(profiles(keyed, n_bands), "profiles")
     classes = made.where("digest is not null and did > -9223372036854775808").groupBy("digest").agg(F.min("did").alias("rep"), F.first("bands").alias("bands"), F.min_by("tid", "did").alias("tid"))
     classes = written(classes, "classes")
     near = near_links(classes, keyed, percent)

@@ -328,6 +328,21 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_pipeline_drops_near_copies_from_080(spark, sf):
+    import corpus_pipeline
+
+    rows, alike = [], []
+    for i in range(20):
+        words = [f"w{i}x{j}" for j in range(104)]
+        other = words[: 100 - i // 5] + [f"v{i}x{j}" for j in range(17)]
+        a, b = shingles(" ".join(words[:100])), shingles(" ".join(other))
+        alike.append(len(a & b) / len(a | b))
+        rows += [(2 * i, " ".join(words[:100]), "en", "s", 1), (2 * i + 1, " ".join(other), "en", "s", 1)]
+    assert min(alike) >= 0.8 and max(alike) < 0.85
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * i for i in range(20)]
+
+
 CLASHING = ("did", "tid", "n", "h", "pos", "seed", "kind", "start", "end", "match", "found", "spans", "kept", "score", "base", "word", "key", "k", "part", "id", "hash", "line", "length", "piece", "rank", "gram", "x", "item_id")
 
 
