@@ -2,12 +2,13 @@
 
 Fixed patterns give assign (a keyword, then a value of 12 or more characters), access and hex spans, leftmost and not
 overlapping per kind. Besides, every run of 20 or more characters of [A-Za-z0-9+/_=-] that mixes letters and digits is a
-candidate. Its encoding (hex, base32, base62 or base64) gives the alphabet. A random string passes the chi-squared
-test of a uniform alphabet and has no serial correlation of neighbouring symbols; a name, a word or a number range
-has few changes between digits, capitals and small letters, so the runs test is taken one-sided against the rate
-NATURAL of such changes: its p-value shrinks with the length. The p-values of all candidates of the corpus go through
-the Benjamini-Hochberg procedure at `rate` (by a histogram of -log10 p, so nothing is sorted in one place). What is
-left, and overlaps no fixed span, is a span of the kind random.
+candidate. Signs are split off; the classes of the other characters give the alphabet (16, 32, 36 or 62 symbols). A
+name, a word or a number range has few changes between digits, capitals and small letters, so the runs test is taken
+one-sided against the rate NATURAL of such changes: its p-value shrinks with the length. The chi-squared test of a
+uniform alphabet and the serial correlation of neighbouring symbols speak against randomness: the smaller of their
+p-values divides that of the runs test (at most 1), so it never gets smaller and no test is a gate of its own. These
+p-values of all candidates of the corpus go through the Benjamini-Hochberg procedure at `rate` (by a histogram of
+-log10 p, so nothing is sorted in one place). What is left, and overlaps no fixed span, is a span of the kind random.
 
 Spans are kind:start:end in code points. Nulls: a null text is empty; a null doc_id is an id of its own. Rows with one
 doc_id and one text get equal results. An empty table gives an empty result. Other columns are ignored.
@@ -38,8 +39,6 @@ QUICK = {
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Share of neighbouring characters of natural strings that change between digit, capital and small letter.
 NATURAL = 0.12
-#: Standard deviations beyond which a test rejects randomness.
-REJECT = 4.0
 
 
 def places(rows: DataFrame, kind: str, pattern: str) -> DataFrame:
@@ -71,17 +70,16 @@ def tail(z: Column) -> Column:
 
 
 def battery(found: DataFrame) -> DataFrame:
-    """Candidates with encoding, uniform and serial (standard deviations from what a random string has) and score, the
-    -log10 p of the runs test against natural strings."""
-    token = F.col("match")
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
-    letters = {"hex": 16, "base32": 32, "base62": 62, "base64": 64}
-    size = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(float(v))) for k, v in letters.items()])
-    rows = found.withColumn("encoding", encoding).withColumn("alphabet", size).withColumn("bare", F.rtrim(F.translate("match", "=", " ")))
+    """Candidates with alphabet, uniform and serial (standard deviations from what a random string has) and score, the
+    -log10 p of the runs test against natural strings, less that of the stronger of the two others."""
+    rows = found.withColumn("bare", F.regexp_replace("match", "[^A-Za-z0-9]", ""))
+    bare = F.col("bare")
+    alphabet = F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(bare.rlike("^([a-z2-7]+|[A-Z2-7]+)$"), 32.0).when(bare.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36.0).otherwise(62.0)
+    rows = rows.withColumn("alphabet", alphabet)
     rows = rows.withColumn("chars", F.split(F.regexp_replace("bare", "(?<=.)(?=.)", "\n"), "\n")).withColumn("n", F.size("chars").cast("double"))
     squares = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, c: a + F.pow(F.length("bare") - F.length(F.replace("bare", c, F.lit(""))), 2))
     rows = rows.withColumn("uniform", (squares * F.col("alphabet") / F.col("n") - F.col("n") - (F.col("alphabet") - 1)) / F.sqrt(2 * (F.col("alphabet") - 1)))
-    value = F.transform("chars", lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).when(c.between("a", "z"), F.ascii(c) - 87).when(c.between("A", "Z"), F.ascii(c) - 29).otherwise(F.ascii(c)).cast("double"))
+    value = F.transform("chars", lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).when(c.between("a", "z"), F.ascii(c) - 87).otherwise(F.ascii(c) - 29).cast("double"))
     rows = rows.withColumn("v", value).withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
     shifted = F.aggregate(F.zip_with(F.slice("v", F.lit(1), F.size("v") - 1), F.slice("v", F.lit(2), F.size("v") - 1), lambda x, y: (x - F.col("mean")) * (y - F.col("mean"))), F.lit(0.0), lambda s, x: s + x)
     spread = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
@@ -90,7 +88,9 @@ def battery(found: DataFrame) -> DataFrame:
     repeats = F.length(kind) - F.length(F.regexp_replace(kind, r"(.)(?=\1)", ""))
     changes = F.col("n") - 1 - repeats
     z = (changes - NATURAL * (F.col("n") - 1)) / F.sqrt(NATURAL * (1 - NATURAL) * (F.col("n") - 1))
-    return rows.withColumn("score", tail(z)).select("did", "tid", "start", "end", "encoding", "uniform", "serial", "score")
+    # the smallest p-value of three tails (one, and two of serial), for their number
+    against = F.greatest(F.lit(0.0), F.greatest(tail(F.col("uniform")), tail(F.abs("serial"))) - math.log10(3))
+    return rows.withColumn("score", F.greatest(F.lit(0.0), tail(z) - against)).select("did", "tid", "start", "end", "alphabet", "uniform", "serial", "score")
 
 
 def discoveries(tested: DataFrame, rate: float) -> DataFrame:
@@ -106,7 +106,7 @@ def discoveries(tested: DataFrame, rate: float) -> DataFrame:
 def random_spans(texts: DataFrame, base: DataFrame, rate: float) -> DataFrame:
     found = places(texts.where(F.col("text").rlike(CANDIDATE)), "random", CANDIDATE).where(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     tested = written(battery(found), "candidates")
-    kept = discoveries(tested.where(f"uniform <= {REJECT} and abs(serial) <= {REJECT}"), rate)
+    kept = discoveries(tested, rate)
     overlap = (kept.did == base.did) & (kept.tid == base.tid) & (kept.start < base.end) & (base.start < kept.end)
     return kept.join(base, overlap, "left_anti").select("did", "tid", F.lit("random").alias("kind"), "start", "end")
 

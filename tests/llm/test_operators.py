@@ -234,6 +234,21 @@ def test_secrets(spark, empty):
     assert secret_scan.secrets(empty).count() == 0
 
 
+def test_secrets_of_any_alphabet_and_length(spark):
+    own = np.random.default_rng(3)
+    letters = {36: "abcdefghijklmnopqrstuvwxyz0123456789", 32: "abcdefghijklmnopqrstuvwxyz234567", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    made = ["".join(own.choice(list(a), n)) for a in letters.values() for n in (48, 64, 80, 128) for _ in range(10)]
+    for _ in range(10):
+        h = "".join(own.choice(list("0123456789abcdef"), 32))
+        made.append("-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])))
+    names = [f"the_long_name_of_{x}_version_{i}" for i, x in enumerate(VOCAB[:40])] + [f"report-{y}-summary-final-draft" for y in range(2000, 2040)] + ["a1" * n for n in range(10, 30)]
+    rows = [(i, f"so {t} .") for i, t in enumerate(made + names)]
+    got = rows_of(secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = [got[i]["n_random"] + got[i]["n_hex"] > 0 for i in range(len(rows))]
+    assert sum(found[: len(made)]) >= 0.9 * len(made), [sum(found[k : k + 10]) for k in range(0, len(made), 10)]
+    assert not any(got[i]["n_random"] for i in range(len(made), len(rows)))
+
+
 def test_personal_data(spark, empty):
     t = "ü mail a.b@c.example.com or +1 (606) 555-7814 from 44.161.181.40 card 4111 1111 1111 1111 or 999.1.1.1 a@b"
     got = rows_of(personal_data.personal_data(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")))
