@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import U, chunks, gram_hashes, sliding_argmin, written
+from tesserae.llm.common import U, arrow_map, chunks, gram_hashes, sliding_argmin, written
 
 #: At LOAD bits for each anchor, one window in 30 to 60 that does not repeat passes.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
@@ -74,7 +74,7 @@ def repeated_anchors(docs: DataFrame, windows: Windows) -> bytes:
         if held:
             yield out()
 
-    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    found = arrow_map(docs.select("text"), count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     found = written(found.select("h"), "anchors")
     return _sketch(found, min(MOST_BITS, max(LEAST_BITS, 1 << (found.count() * LOAD).bit_length())))
 
@@ -98,7 +98,7 @@ def _sketch(found: DataFrame, size: int) -> bytes:
             own |= np.frombuffer(zlib.decompress(x), np.uint8)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(own, 1)], pa.binary())], ["slice", "bits"])
 
-    parts = found.mapInArrow(bits, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary")
+    parts = arrow_map(found, bits, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary")
     whole = np.zeros((SLICES, width // 8), np.uint8)
     for row in parts.collect():
         whole[row["slice"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.anchors import Windows, in_sketch, opened, repeated_anchors
-from tesserae.llm.common import BASES, byte_values, chunks, gram_hashes, keyed_documents, written
+from tesserae.llm.common import BASES, arrow_map, byte_values, chunks, gram_hashes, keyed_documents, written
 
 ANCHOR_BYTES = 24
 #: Distinct fragments of one anchor that a block takes; windows of anchors with more are aggregated by hash.
@@ -135,7 +135,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                         ["did", "tid", "start", "anchor", "before", "fragment"],
                     )
 
-    fragments = keyed.select("did", "tid", "text").mapInArrow(emit, "did long, tid long, start long, anchor long, before long, fragment binary")
+    fragments = arrow_map(keyed.select("did", "tid", "text"), emit, "did long, tid long, start long, anchor long, before long, fragment binary")
     fragments = fragments.withColumns({"c1": F.xxhash64("fragment"), "c2": F.xxhash64(F.lit("second"), "fragment")})
     classes = fragments.groupBy("anchor", "before", "fragment").agg(F.count("*").alias("n"))
     classes = written(classes.withColumns({"c1": F.xxhash64("fragment"), "c2": F.xxhash64(F.lit("second"), "fragment")}), "classes")
@@ -184,7 +184,7 @@ def _blocks(classes: DataFrame, length: int) -> DataFrame:
             yield solve(held)
 
     dealt = classes.select("anchor", "before", "fragment", "n", "c1", "c2").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(build, "c1 long, c2 long, spans binary")
+    return arrow_map(dealt, build, "c1 long, c2 long, spans binary")
 
 
 def _by_hash(classes: DataFrame, length: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _by_hash(classes: DataFrame, length: int) -> DataFrame:
         at = np.unique(t.column("at").to_numpy())
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([_packed(at, length)], pa.binary())], schema=ROWS)])
 
-    rows = classes.select("c1", "c2", "n", "fragment").mapInArrow(emit, "h1 long, h2 long, c1 long, c2 long, n long, at long")
+    rows = arrow_map(classes.select("c1", "c2", "n", "fragment"), emit, "h1 long, h2 long, c1 long, c2 long, n long, at long")
     often = rows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
     return rows.join(often, ["h1", "h2"]).select("c1", "c2", "at").groupBy("c1", "c2").applyInArrow(pack, "c1 long, c2 long, spans binary")
 
@@ -236,7 +236,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
                     runs.append(removed)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(kept)), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(runs, RUNS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start: long, end: long>>, kept binary")
+    return arrow_map(joined, cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start: long, end: long>>, kept binary")
 
 
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import shutil
 import sys
 import tempfile
@@ -26,11 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset, a folder of this machine (tests)."""
+    """The shared folder of spark.checkpoint.dir; only in local mode may it be unset, and is then of this machine."""
     conf = spark.sparkContext.getConf()
     given = conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "_tesserae_scratch" not in sys.__dict__:
         sys._tesserae_scratch = tempfile.mkdtemp(prefix="tesserae-")
         atexit.register(shutil.rmtree, sys._tesserae_scratch, True)
@@ -44,16 +49,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if not WRITTEN:
+        atexit.register(_drop_all)
+    WRITTEN[path] = spark
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table that written() made, when nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: Scratch tables that stand, with their sessions; those that a result still reads go at the driver's end.
+WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    WRITTEN.pop(path, None)
+
+
+def _drop_all() -> None:
+    for path, spark in list(WRITTEN.items()):
+        try:
+            _delete(path, spark)
+        except Exception:  # the JVM has gone
+            return
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, when nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            _delete(path, df.sparkSession)
+
+
+#: Bytes of a batch on its way to Python: both sides hold a few of them.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES (set for the session); what a task freed goes back at its end,
+    so workers that serve many stages don't add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(_returning(f), schema)
+
+
+def _returning(f):
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run
 
 
 def process_cache(name: str, make):

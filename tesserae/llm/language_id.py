@@ -24,14 +24,14 @@ empty string for the folds (held out). Rows with a null lang train nothing. With
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import drop_written, process_cache, written
+from tesserae.llm.common import arrow_map, drop_written, process_cache, written
 
 ORDER = 4
 #: Distinct 4-grams times languages that one shard of the model holds, about.
@@ -241,7 +241,7 @@ def count_keys(train: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return train.select("lang", "text").mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    return arrow_map(train.select("lang", "text"), count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame, languages: list[str]) -> np.ndarray:
@@ -322,8 +322,9 @@ def fit(counts: DataFrame) -> Model | None:
 
 
 def sharing(model: Model, spark):
-    """A broadcast of the model without its shards, and these: broadcasts go to tasks by themselves."""
-    return spark.sparkContext.broadcast(replace(model, shards=[])), model.shards
+    """A broadcast of the model's plain fields (executors need no copy of this package) without its shards, and
+    these: broadcasts go to tasks by themselves."""
+    return spark.sparkContext.broadcast({f.name: getattr(model, f.name) for f in fields(model) if f.name != "shards"}), model.shards
 
 
 def calibrate(model: Model, sample: DataFrame) -> Model:
@@ -332,13 +333,13 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
     shared, shards = sharing(model, sample.sparkSession)
 
     def measure(batches):
-        model = replace(shared.value, shards=shards)
+        model = Model(**shared.value, shards=shards)
         for batch in batches:
             h, n, inked = model.entropy(batch.column(1).to_pylist())
             ok = inked > 0
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(list(h[ok]), pa.list_(pa.float64())), pa.array(n[ok])], ["lang", "h", "n"])
 
-    got = sample.select("lang", "text").mapInArrow(measure, "lang string, h array<double>, n long").toPandas()
+    got = arrow_map(sample.select("lang", "text"), measure, "lang string, h array<double>, n long").toPandas()
     if got.empty:
         return model
     h, n = np.stack(got.h.to_numpy()), got.n.to_numpy()
@@ -393,7 +394,7 @@ def identify(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
     shared, shards = (None, None) if model is None else sharing(model, docs.sparkSession)
 
     def judge(batches):
-        model = shared and replace(shared.value, shards=shards)
+        model = shared and Model(**shared.value, shards=shards)
         for b in batches:
             texts = b.column(1).to_pylist()
             if model is None:
@@ -402,7 +403,7 @@ def identify(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
                 lang, score, h, ok = model.judge(texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(lang, pa.string()), pa.array(score), pa.array(h), pa.array(ok), *b.columns[3:]], names)
 
-    return rows.mapInArrow(judge, "doc_id long, text string, held_out boolean, lang_pred string, score double, entropy double, accepted boolean" + "".join(f", `{c}` {kinds[c]}" for c in more))
+    return arrow_map(rows, judge, "doc_id long, text string, held_out boolean, lang_pred string, score double, entropy double, accepted boolean" + "".join(f", `{c}` {kinds[c]}" for c in more))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import keyed_documents
+from tesserae.llm.common import arrow_map, keyed_documents
 
 WINDOW = 3
 #: White space trimmed from lines.
@@ -62,7 +62,7 @@ def line_dedup(docs: DataFrame, *more: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *[batch.column(3 + k) for k in range(len(more))]], ["doc_id", "n_lines", "n_removed", "kept", *more])
 
     kinds = dict(docs.dtypes)
-    return joined.mapInArrow(cut, ", ".join(["doc_id long, n_lines long, n_removed long, kept string", *[f"`{c}` {kinds[c]}" for c in more]]))
+    return arrow_map(joined, cut, ", ".join(["doc_id long, n_lines long, n_removed long, kept string", *[f"`{c}` {kinds[c]}" for c in more]]))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import byte_values, chunks, gram_hashes, keyed_documents, span_hashes, splitmix, word_spans, written
+from tesserae.llm.common import arrow_map, byte_values, chunks, gram_hashes, keyed_documents, span_hashes, splitmix, word_spans, written
 from tesserae.llm.components import components
 
 BANDS, ROWS = 16, 4
@@ -91,7 +91,7 @@ def profiles(keyed: DataFrame, n_bands: int = BANDS) -> DataFrame:
                     bands.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["did", "tid", "n_shingles", "digest", "bands"])
 
-    return keyed.select("did", "tid", "text").mapInArrow(make, "did long, tid long, n_shingles long, digest binary, bands array<long>")
+    return arrow_map(keyed.select("did", "tid", "text"), make, "did long, tid long, n_shingles long, digest binary, bands array<long>")
 
 
 def tile_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -191,9 +191,9 @@ def near_links(classes: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     sets = keyed.select(F.col("did").alias("rep"), "tid", "text").join(tiles, ["rep", "tid"]).select("rep", "text", "places")
-    dealt = sets.mapInArrow(to_tiles, "band int, key long, x int, y int, rep long, items binary")
+    dealt = arrow_map(sets, to_tiles, "band int, key long, x int, y int, rep long, items binary")
     dealt = dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return arrow_map(dealt, compare, "a long, b long")
 
 
 TILE_NAMES = ["band", "key", "x", "y", "rep", "items"]

@@ -10,8 +10,8 @@ decreasing of all pieces: a list of bin groups, each with the bins it splits fro
 their rank among pieces of their length, which comes from counts per scan task, never from one global sort.
 
 Nulls: a null text is empty (one token, the end id); a null doc_id is an id of its own. Repeated rows are packed
-each. Longer documents than `capacity` are cut there; the last piece may be shorter. An empty table gives an empty
-result. Other columns are ignored.
+each. Longer documents than `capacity` are cut there; the last piece may be shorter. Very long texts are tokenized in
+parts, and words of any length in n log n steps. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import chunks, keyed_documents, process_cache, written
-from tesserae.llm.wordpieces import Encoder
+from tesserae.llm.common import arrow_map, chunks, keyed_documents, process_cache, written
+from tesserae.llm.wordpieces import Encoder, parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -51,7 +51,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for batch in batches:
             rows = []
             for k, buf, offsets in chunks(batch.column(1), TOKEN_BYTES):
-                ids, at = encoder.batch(buf, offsets)
+                if len(buf) > 2 * TOKEN_BYTES:  # one long text
+                    ids = np.concatenate([encoder.batch(x, np.array([0, len(x)]))[0] for x in parts(buf, TOKEN_BYTES)])
+                    at = np.array([0, len(ids)])
+                else:
+                    ids, at = encoder.batch(buf, offsets)
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
                     for i, s in enumerate(range(0, len(own), capacity)):
@@ -62,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             k, i, s, n, crc, turn = np.array(rows, np.int64).reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(i.astype(np.int32)), *map(pa.array, (s, n, crc)), pa.array(np.full(len(n), task, np.int32)), pa.array(turn)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "turn"])
 
-    return keyed_documents(docs).select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, turn long")
+    return arrow_map(keyed_documents(docs).select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, turn long")
 
 
 class CapacityTree:
@@ -165,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = cut.join(offsets, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("turn")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

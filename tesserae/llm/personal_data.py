@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import keyed_documents, written
+from tesserae.llm.common import arrow_map, keyed_documents, written
 
 # The patterns of the contract, in their order.
 BASE = ("email", "ip", "card", "phone")
@@ -156,7 +156,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             n = np.array(counts, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, n), pa.array(base, pa.string()), pa.array(found, FOUND)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "found"])
 
-    return keyed_documents(docs).select("doc_id", "text").mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<kind: string, start: long, end: long, votes: string>>")
+    return arrow_map(keyed_documents(docs).select("doc_id", "text"), scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<kind: string, start: long, end: long, votes: string>>")
 
 
 FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string())]))

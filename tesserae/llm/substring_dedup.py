@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.anchors import Windows, in_sketch, opened, repeated_anchors
-from tesserae.llm.common import BASES, byte_values, chunks, gram_hashes, keyed_documents, span_hashes, word_spans
+from tesserae.llm.common import BASES, arrow_map, byte_values, chunks, gram_hashes, keyed_documents, span_hashes, word_spans
 
 #: Long enough that frequent words alone rarely repeat one (at 6, a third of all windows looked repeated).
 ANCHOR_WORDS = 8
@@ -66,7 +66,7 @@ def first_places(keyed: DataFrame, windows: Windows, sketch) -> DataFrame:
                     s = slice(k, k + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (two[0][s], two[1][s], did[i + own[s]], (starts - at[own])[s])], ["h1", "h2", "did", "pos"])
 
-    phrases = keyed.select("did", "text").mapInArrow(emit, "h1 long, h2 long, did long, pos long")
+    phrases = arrow_map(keyed.select("did", "text"), emit, "h1 long, h2 long, did long, pos long")
     return phrases.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos")).alias("first")).select("first.did", F.col("first.pos").cast("int").alias("pos"))
 
 
@@ -107,7 +107,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOWS) -> DataFrame:
                     made.append([{"start": a, "words": b} for a, b in found])
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(kept)), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(made, FACTOR)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long>>")
+    return arrow_map(joined, cut, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long>>")
 
 
 FACTOR = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words")]))

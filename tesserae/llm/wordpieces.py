@@ -3,8 +3,8 @@
 The tokenizer lower-cases, splits texts into runs of letters, single digits and runs of other characters, and merges
 the bytes of each run by rank (byte pair encoding with word ends). Characters between spaces are split here on bytes
 where all of them are ASCII or Latin-1 letters; anything else (apostrophes, angle brackets, other alphabets) goes to
-the tokenizer, one space-free run at a time, since no token reaches over a space. The ids of runs stay in a bounded
-hash table of the worker.
+the tokenizer, one space-free run at a time, since no token reaches over a space. So do runs of over LONG_RUN bytes.
+The ids of runs stay in a bounded hash table of the worker. A very long text goes in parts, cut at spaces.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ import numpy as np
 from tesserae.llm.common import BASES, byte_values, span_hashes
 
 #: Runs that a worker keeps; beyond it the table starts anew.
-KNOWN = 1 << 20
-SLOT_BITS = 22
+KNOWN = 1 << 18
+SLOT_BITS = 20
+#: Longer runs go to the tokenizer, whose merges take n log n steps; those here take a pass over the run each.
+LONG_RUN = 256
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -217,16 +219,18 @@ class Encoder:
             keep = what > 0
             starts, ends = starts[keep], ends[keep]
             easy = np.ones(len(starts), bool)
+        easy &= ends - starts <= LONG_RUN
         keys = span_hashes(byte_values()[np.where(kind == 4, buf, low)], starts, ends)
         keys = np.where(easy, keys, span_hashes(byte_values()[buf], starts, ends, BASES[1]) if not easy.all() else keys)
         found = self.known.get(keys)
         if (found < 0).any():
-            if self.n + int((found < 0).sum()) > KNOWN:
-                self.clear()
-                found[:] = -1
             new = np.flatnonzero(found < 0)
-            _, first = np.unique(keys[new], return_index=True)
-            new = new[first]
+            new = new[np.unique(keys[new], return_index=True)[1]]
+            if self.n and self.n + len(new) > KNOWN:
+                self.clear()
+                new = np.unique(keys, return_index=True)[1]
+            if self.n + len(new) > KNOWN:  # one very long text
+                self.known = Table(max(SLOT_BITS, int(2 * len(new)).bit_length()))
             mine = new[easy[new]]
             if len(mine):
                 self._learn(keys[mine], *self.merges.encode(low, starts[mine], ends[mine]))
@@ -244,6 +248,23 @@ class Encoder:
         return ids, np.r_[0, end][np.searchsorted(starts, offsets)]
 
 
+def parts(buf: np.ndarray, limit: int):
+    """buf in pieces of about `limit` bytes, cut after a space; without one, a piece is longer."""
+    a = 0
+    while len(buf) - a > limit:
+        b = a + limit
+        while b < len(buf):
+            near = np.flatnonzero(buf[b : b + 65536] == 32)
+            if len(near):
+                b += int(near[0]) + 1
+                break
+            b = min(b + 65536, len(buf))
+        yield buf[a:b]
+        a = b
+    if a < len(buf) or not len(buf):
+        yield buf[a:]
+
+
 def _tails(mine: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """The last run of each group of runs that `mine` marks."""
     after = np.r_[~mine[1:] | fresh[1:], True]

@@ -184,6 +184,26 @@ def test_odd_texts_tokenize_alike():
     assert got == [x.ids for x in e.whole.encode_batch(odd, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("text", ("ab" * 300_000, "abcdefghij" * 1_000_000, "7" * 400_000, "é'" * 100_000, "one two " * 200_000, "=" * 300_000))
+def test_long_words_and_texts_tokenize_alike(text):
+    """Also a word of ten million letters, in seconds."""
+    import time
+
+    import pyarrow as pa
+
+    from tesserae.llm.common import chunks
+    from tesserae.llm.wordpieces import Encoder, parts
+
+    e = Encoder(packing.default_tokenizer())
+    ((_, buf, offsets),) = chunks(pa.array([text]))
+    began = time.time()
+    ids = np.concatenate([e.batch(x, np.array([0, len(x)]))[0] for x in parts(buf, packing.TOKEN_BYTES)])
+    took = time.time() - began
+    began = time.time()
+    assert ids.tolist() == e.whole.encode(text, add_special_tokens=False).ids
+    assert took < 10 + 3 * (time.time() - began)
+
+
 def test_decontamination_tolerates_substitutions(spark, docs, empty):
     item = prose(40).split()
     changed = list(item)
