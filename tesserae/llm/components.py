@@ -32,6 +32,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """large: edges both ways; every neighbour above u is linked to the smallest around u. Else: edges downward;
     every neighbour of u, and u itself, is linked to the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = low.repartition(F.xxhash64("u"))  # so the join deals the edges itself, and may split those of a hub
     if large:
         out = edges.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -5,14 +5,18 @@ make the whole signature: the first scatters the shingles, the second, shifted c
 (its smallest value over the set). Coordinates are cut into bands; documents that agree on a band meet in a bucket.
 
 Documents with equal sets form one class from the start, and only the class goes on, so exact copies, however many,
-cost one row. Buckets with the same members in several bands count once. A bucket is dealt over tiles of at most two
-chunks of about TILE members; in a tile all pairs are compared on their full sets at once (a product of occurrence
-matrices), and the links of a spanning forest leave it, never all pairs. Links are then closed to components.
+cost one row. Buckets with the same members in several bands count once. A bucket is dealt over tiles of about TILE
+members; in a tile all pairs are compared on their full sets at once (a product of occurrence matrices), and the links
+of a spanning forest leave it, never all pairs. About PIVOTS members of a bucket are in all of its tiles, so that a
+group of near copies, however large, becomes one component by work that grows with its size. Only members outside
+their bucket's largest component are then compared with the whole bucket, so no link between components is lost. Links
+are closed to components.
 With BANDS x ROWS = 16 x 4 a pair at the similarity of 0.85 is missed with probability (1 - 0.85^4)^16 = 7.5e-6; a lower
 similarity takes more bands (at 0.8, 23 bands miss (1 - 0.8^4)^23 = 5.4e-6).
 
 Nulls and texts without words: an empty set, linked with nothing. A null doc_id: n_shingles is given, it is linked
-with nothing and kept. Rows that share a doc_id count as one document. An empty table gives an empty result.
+with nothing and kept. Rows that share a doc_id count as one document. A text is held by one task as about 60 bytes for
+each of its bytes. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, byte_values, chunks, gram_hashes, keyed_documents, span_hashes, splitmix, word_spans, written
+from tesserae.llm.common import arrow_map, byte_values, chunks, drop_written, gram_hashes, keyed_documents, span_hashes, splitmix, word_spans, written
 from tesserae.llm.components import components
 
 BANDS, ROWS = 16, 4
-TILE = 256
+#: Sets compared at once; of a larger bucket, so many are in every tile of it.
+TILE, PIVOTS = 256, 8
 SHINGLE = 5
-#: Shingles enter a tile by 48 bits of their hash.
-SET_BITS = 48
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
@@ -134,70 +137,88 @@ def tile_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tu
     return out
 
 
-def near_links(classes: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """a, b: verified links that connect what the candidate pairs connect, between class representatives (rep)."""
+def members(classes: DataFrame) -> DataFrame:
+    """rep, tid, band, key, m, chunks and chunk: each class in the buckets of more than one, equal buckets once."""
     banded = classes.select("rep", "tid", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep", "tid").cast("decimal(38,0)")).alias("who")).where("m > 1")
     buckets = buckets.groupBy("m", "low", "who").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "m")
-    # every member meets its own chunk and all others of the bucket: one row for each tile
-    member = banded.join(buckets, ["band", "key"]).withColumn("chunks", F.ceil(F.col("m") / TILE).cast("int"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")).cast("int"))
-    place = F.struct("band", "key", "own", "chunks")
-    tiles = member.groupBy("rep", "tid").agg(F.collect_list(place).alias("places"))
+    out = banded.join(buckets, ["band", "key"]).withColumn("chunks", F.ceil(F.col("m") / TILE).cast("int"))
+    return out.withColumn("chunk", F.pmod(F.xxhash64("rep", "tid", F.lit("chunk")), F.col("chunks")).cast("int"))
+
+
+def first_tiles(own: DataFrame) -> DataFrame:
+    """rep, tid, band, key, a, b (the tile) of every class: a tile for each chunk; the pivots of a bucket of several
+    chunks, about PIVOTS of them, are in all of its tiles."""
+    pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("rep", "tid", F.lit("pivot")), F.col("m")) < PIVOTS)
+    chunks = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    return own.select("rep", "tid", "band", "key", chunks.alias("a"), F.array(F.lit(-1)).alias("b"))
+
+
+def rest_tiles(own: DataFrame, found: DataFrame) -> DataFrame:
+    """The same for what the first tiles leave open: pairs of one bucket that lie in several chunks and several
+    components. All members outside a bucket's largest component meet all members of the bucket."""
+    large = own.where("chunks > 1").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    sizes = large.groupBy("band", "key", "label").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("open")).where("open > 0")
+    large = large.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("open") / TILE).cast("int"))
+    every = large.select("rep", "tid", "band", "key", F.array("chunk").alias("a"), F.sequence(F.lit(0), F.col("parts") - 1).alias("b"))
+    part = F.pmod(F.xxhash64("rep", "tid", F.lit("part")), F.col("parts")).cast("int")
+    return every.unionAll(large.where("label <> most").select("rep", "tid", "band", "key", F.sequence(F.lit(0), F.col("chunks") - 1).alias("a"), F.array(part).alias("b")))
+
+
+def tiled_links(tiles: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect what the pairs within the tiles connect, checked on full sets."""
+    tiles = tiles.groupBy("rep", "tid").agg(F.collect_list(F.struct("band", "key", "a", "b")).alias("places"))
 
     def to_tiles(batches):
         for batch in batches:
-            rep, places = batch.column(0), batch.column(2)
+            rep, tid, places = batch.column(0), batch.column(1), batch.column(3)
             rows, held = [], 0
-            for i, s in shingle_sets(batch.column(1)):
-                if not len(s):
-                    continue
-                packed = np.unique(s & np.uint64((1 << SET_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SET_BITS // 8].tobytes()
-                for p in places[i].as_py():
-                    for other in range(p["chunks"]):
-                        x, y = sorted((p["own"], other))
-                        rows.append((p["band"], p["key"], x, y, rep[i].as_py(), packed))
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TILE_TYPES, strict=True)], TILE_NAMES)
+
+            for i, s in shingle_sets(batch.column(2)):
+                packed = s.astype("<u8").tobytes()
+                for p in places[i].as_py() if packed else ():
+                    for x, y in ((x, y) for x in p["a"] for y in p["b"]):
+                        rows.append((p["band"], p["key"], x, y, rep[i].as_py(), tid[i].as_py(), packed))
                         held += len(packed)
-                if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TILE_TYPES, strict=True)], TILE_NAMES)
-                    rows, held = [], 0
+                        if held > 4_000_000:
+                            yield out()
+                            rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TILE_TYPES, strict=True)], TILE_NAMES)
+                yield out()
 
     def compare(batches):
-        held: list = []
+        held: dict[tuple, bytes] = {}
         now = None
 
         def solve():
-            seen: dict[int, np.ndarray] = {}
-            for r, packed in held:
-                if r not in seen:
-                    cells = np.zeros((len(packed) // (SET_BITS // 8), 8), np.uint8)
-                    cells[:, : SET_BITS // 8] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BITS // 8)
-                    seen[r] = cells.view("<u8").ravel()
-            return tile_links(list(seen.values()), np.array(list(seen)), percent) if len(seen) > 1 else []
+            ids = np.array([r for r, _ in held], np.int64)
+            return tile_links([np.frombuffer(x, "<u8") for x in held.values()], ids, percent) if len(held) > 1 else []
 
         for batch in batches:
             out = []
             keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            for key, r, packed in zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for key, r, t, packed in zip(keys, *(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
                 if key != now:
                     out += solve()
                     held.clear()
                     now = key
-                held.append((r, packed))
+                held[r, t] = packed
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
         out = solve()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    sets = keyed.select(F.col("did").alias("rep"), "tid", "text").join(tiles, ["rep", "tid"]).select("rep", "text", "places")
-    dealt = arrow_map(sets, to_tiles, "band int, key long, x int, y int, rep long, items binary")
+    sets = keyed.select(F.col("did").alias("rep"), "tid", "text").join(tiles, ["rep", "tid"]).select("rep", "tid", "text", "places")
+    dealt = arrow_map(sets, to_tiles, "band int, key long, x int, y int, rep long, tid long, items binary")
     dealt = dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
     return arrow_map(dealt, compare, "a long, b long")
 
 
-TILE_NAMES = ["band", "key", "x", "y", "rep", "items"]
-TILE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+TILE_NAMES = ["band", "key", "x", "y", "rep", "tid", "items"]
+TILE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS) -> DataFrame:
@@ -206,12 +227,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS) ->
     made = written(profiles(keyed, n_bands), "profiles")
     classes = made.where("digest is not null and did > -9223372036854775808").groupBy("digest").agg(F.min("did").alias("rep"), F.first("bands").alias("bands"), F.min_by("tid", "did").alias("tid"))
     classes = written(classes, "classes")
-    near = near_links(classes, keyed, percent)
+    own = written(members(classes), "members")
+    near = written(tiled_links(first_tiles(own), keyed, percent), "near")
     # rows that share a doc_id are one document: their classes meet
     same = made.where("digest is not null").join(classes.select("digest", "rep"), "digest").where("did > -9223372036854775808 and did <> rep").select(F.col("did").alias("a"), F.col("rep").alias("b"))
     twice = made.groupBy("did").agg(F.count_distinct("digest").alias("k")).where("k > 1").select("did")
     same = same.join(twice, F.col("a") == F.col("did"), "left_semi")
-    found = written(components(near.unionAll(same)), "components")
+    links = near.unionAll(same)
+    found = components(links)
+    if own.where("chunks > 1").take(1):
+        rest = rest_tiles(own, found)
+        if rest.take(1):
+            found = components(links.unionAll(tiled_links(rest, keyed, percent)))
+    drop_written(own, near)
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = made.join(named, "digest", "left")
     null = F.col("did") == F.lit(-(2**63))

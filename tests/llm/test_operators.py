@@ -110,9 +110,8 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_copies(docs, empty):
-    got = rows_of(near_dedup.near_duplicates(docs))
-    own = {i: shingles(t) for i, t in enumerate(TEXTS)}
+def classes_of(own):
+    """Components of the sets of `own` by all pairs."""
     parent = {i: i for i in own}
 
     def root(x):
@@ -121,17 +120,58 @@ def test_near_copies(docs, empty):
         return x
 
     for i in own:
-        for j in range(i):
-            both = len(own[i] & own[j])
+        for j in own:
+            both = len(own[i] & own[j]) if j < i else 0
             if both and 100 * both >= 85 * len(own[i] | own[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    for i in own:
-        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(own[i]), root(i), root(i) == i), i
+    return {i: root(i) for i in own}
+
+
+def test_near_copies(docs, empty):
+    got = rows_of(near_dedup.near_duplicates(docs))
+    own = {i: shingles(t) for i, t in enumerate(TEXTS)}
+    for i, root in classes_of(own).items():
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(own[i]), root, root == i), i
     assert got[None]["kept"] and got[None]["component_id"] is None
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_in_many_tiles(spark, monkeypatch):
+    """Buckets of many tiles: chains, stars, and members apart from the pivots, against all pairs."""
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    own = np.random.default_rng(5)
+    texts = []
+    for g in range(6):
+        words = [f"g{g}w{j}" for j in range(130)]
+        for _ in range(30):
+            w = list(words)
+            for j in own.integers(0, len(w), int(own.integers(0, 6))):
+                w[j] = f"x{own.integers(0, 1000)}"
+            words = w if own.random() < 0.3 else words  # chains
+            texts.append(" ".join(w))
+    order = own.permutation(len(texts))
+    rows = [(int(i), texts[k]) for i, k in enumerate(order)]
+    got = rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = classes_of({i: shingles(t) for i, t in rows})
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
+def test_thousands_of_near_copies(spark):
+    """5,000 copies, each changed in a place, are one component, by tiles that grow with the group."""
+    words = [f"w{j}" for j in range(150)]
+    texts = [" ".join([*words[: i % 150], f"new{i}", *words[i % 150 + 1 :]]) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs)
+    assert [r["component_id"] for r in got.select("component_id").distinct().collect()] == [0]
+    keyed = near_dedup.keyed_documents(docs)
+    classes = near_dedup.profiles(keyed).select(F.col("did").alias("rep"), "tid", "bands")
+    own = near_dedup.members(classes)
+    tiles = near_dedup.first_tiles(own).select(F.sum(F.size("a") * F.size("b"))).first()[0]
+    assert tiles < 1.5 * own.count()
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
