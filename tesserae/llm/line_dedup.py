@@ -6,7 +6,8 @@ that occurs more than once, the first place (smallest doc_id, then smallest line
 covered; the lines that covered windows hold, merged, go.
 
 Nulls: a null text has no lines and stays null; a null doc_id sorts first. Documents of under three lines stay whole.
-Rows with one doc_id and one text are one document. An empty table gives an empty result. Other columns are ignored.
+Rows with one doc_id and one text are one document. A text is held by one task, with about as many bytes again for its
+lines. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     part = lambda name: [F.col("h")[F.col("pos") + k][name] for k in range(WINDOW)]
     windows = at.select("did", "tid", "pos", F.xxhash64(*part("a")).alias("h1"), F.xxhash64(F.lit("window"), *part("b")).alias("h2"))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("did", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = first.repartition(F.xxhash64("h1"))  # so the join deals the windows itself, and may split a very common one's
     later = windows.join(first, ["h1", "h2"]).where("first.did <> did or first.pos <> pos")
     return later.groupBy("did", "tid").agg(F.collect_set("pos").alias("starts"))
 
