@@ -10,10 +10,13 @@ a fifth of the places as substitutions leaves some mask untouched (tests enumera
 SPAN - 1 tokens are cut in three blocks and hashed without one of them, each in turn, so one substitution, all that 0.8
 lets through, is never missed either. Below `similar` = 0.8 some windows are missed.
 
-The items' seeds are broadcast while they are at most BROADCAST_SEEDS; beyond it Spark shuffles both sides.
+A bit map of the items' seeds, of a fixed size, is broadcast; documents are read once for the seeds of all items, and
+only a seed that the map knows leaves its scan task, with the stretch of the text that its windows reach. The share of
+others that pass is the number of item seeds by MAP_BITS (a benchmark of a million tokens: one in 13).
 Items with one token sequence count as one, named by their smallest item_id. Items under LEAST tokens are no evidence.
 Nulls: a null text, item or item_id takes no part; a document with a null text is clean. Rows with one doc_id and one
-text get equal results. An empty benchmark leaves all clean. Other columns are ignored.
+text get equal results. The tokens of a text are held by one task. An empty benchmark leaves all clean. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ MORE_MASKS = ((0, 1, 3, 4, 6), (0, 2, 6, 7, 8))
 SPAN = 10
 WINDOW = 20
 LEAST = 5
-BROADCAST_SEEDS = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -42,34 +44,66 @@ def blocks(n: int) -> list[tuple[int, ...]]:
     return [tuple(k for k in range(n) if not a <= k < b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def seeds(rows: DataFrame, masks, least: int, *keep: str) -> DataFrame:
-    """One row for each place and mask of h, an array of at least `least` token hashes; h itself is left behind."""
-    at = rows.where(F.size("h") >= least).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.size("h") - 1 - min(m[-1] for m in masks))).alias("pos"))
-    each = [F.when(F.col("pos") + m[-1] < F.size("h"), F.xxhash64(F.lit(i), *[F.get("h", F.col("pos") + k) for k in m])) for i, m in enumerate(masks)]
-    return at.select(*keep, "pos", F.size("h").alias("n"), F.explode(F.array(*each)).alias("seed")).where("seed is not null")
+#: Tokens before and after a seed's first place that windows with it may reach.
+BEFORE, AFTER = WINDOW - 1 - min(m[-1] for m in MASKS + MORE_MASKS), WINDOW
+#: Bits of the map of item seeds: at most MAP_BITS / 64 rows are broadcast, whatever the benchmark.
+MAP_BITS = 1 << 26
 
 
-def hits(keyed: DataFrame, items: DataFrame, masks, least: int) -> DataFrame:
-    """did, tid, item_id, d, width, g: g is the stretch of the item that windows with the hit reach, at d of the text."""
-    begin = F.greatest(F.lit(0), F.col("q") + min(m[-1] for m in masks) + 1 - WINDOW)
-    test = seeds(items.withColumn("g", F.col("h")), masks, least, "item_id", "g").withColumnRenamed("pos", "q")
-    test = test.select("item_id", "seed", (begin - F.col("q")).alias("ahead"), F.least(F.lit(WINDOW), F.size("g")).alias("width"), F.slice("g", begin + 1, F.col("q") + WINDOW - begin).alias("g"))
-    if test.count() <= BROADCAST_SEEDS:
-        test = F.broadcast(test)
-    found = seeds(keyed, masks, least, "did", "tid").join(test, "seed").withColumn("d", F.col("pos") + F.col("ahead"))
+def seeds_at(h: Column, pos: Column, masks: list[tuple[int, tuple[int, ...]]]) -> Column:
+    """The seeds of the masks (number, places) laid at pos of h; null where one does not fit."""
+    return F.array(*[F.when(pos + m[-1] < F.size(h), F.xxhash64(F.lit(i), *[F.get(h, pos + k) for k in m])) for i, m in masks])
+
+
+def long_masks() -> list[tuple[int, tuple[int, ...]]]:
+    return list(enumerate(MASKS + MORE_MASKS))
+
+
+def short_masks(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    return [(100 * n + i, m) for i, m in enumerate(blocks(n))]
+
+
+def item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """seed, item_id, width, ahead and g: g is the stretch of the item that windows with the seed reach, and begins
+    at `ahead` of the seed."""
+    q = F.col("q")
+    at = items.where(F.size("h") >= SPAN).select("item_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1 - min(m[-1] for _, m in long_masks()))).alias("q"))
+    begin = F.greatest(F.lit(0), q - BEFORE)
+    out = at.select(F.explode(seeds_at(F.col("h"), q, long_masks())).alias("seed"), "item_id", F.least(F.lit(WINDOW), F.size("h")).alias("width"), (begin - q).alias("ahead"), F.slice("h", begin + 1, q + AFTER - begin).alias("g"))
+    for n in lengths:
+        own = items.where(F.size("h") == n)
+        out = out.unionAll(own.select(F.explode(seeds_at(F.col("h"), F.lit(0), short_masks(n))).alias("seed"), "item_id", F.lit(n).alias("width"), F.lit(0).alias("ahead"), F.col("h").alias("g")))
+    return out.where("seed is not null")
+
+
+def hits(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """did, tid, item_id, width, d, g and c: g lies on c, a stretch of the text, at d (which may be negative)."""
+    lengths = sorted(r["n"] for r in items.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # at most SPAN - LEAST
+    test = item_seeds(items, lengths)
+    place = F.col("seed").bitwiseAND(F.lit(MAP_BITS - 1))
+    word, bit = F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+    bits = test.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    masks = long_masks() + [m for n in lengths for m in short_masks(n)]
+    last = F.size("h") - 1 - min(m[-1] for _, m in masks)
+    pos, since = F.col("pos"), F.greatest(F.lit(0), F.col("pos") - BEFORE)
+    at = keyed.where(last >= 0).select("did", "tid", "h", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    at = at.select("did", "tid", "h", "pos", F.explode(seeds_at(F.col("h"), pos, masks)).alias("seed")).where("seed is not null")
+    at = at.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)
+    at = at.select("did", "tid", "seed", (pos - since).alias("back"), F.slice("h", since + 1, pos + AFTER - since).alias("c"))
+    found = at.join(test, "seed").withColumn("d", F.col("back") + F.col("ahead"))
     # some window lies within the text
-    found = found.where(F.least(F.col("n"), F.col("d") + F.size("g")) - F.greatest(F.lit(0), F.col("d")) >= F.col("width"))
-    return found.select("did", "tid", "item_id", "d", "width", "g")
+    found = found.where(F.least(F.size("c"), F.col("d") + F.size("g")) - F.greatest(F.lit(0), F.col("d")) >= F.col("width"))
+    return found.select("did", "tid", "item_id", "width", "d", "g", "c").distinct()
 
 
-def best_share(h: Column, x: Column) -> Column:
-    """The largest share of equal tokens in a window of x.width tokens of x.g, laid on h at x.d."""
+def best_share() -> Column:
+    """The largest share of equal tokens in a window of `width` tokens of g, laid on c at d."""
     total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, b: a + b)
-    skip = F.greatest(F.lit(0), -x["d"])
-    size = F.least(F.size(x["g"]) - skip, F.size(h) - x["d"] - skip)
-    equal = F.zip_with(F.slice(h, x["d"] + skip + 1, size), F.slice(x["g"], skip + 1, size), lambda a, b: (a == b).cast("int"))
-    windows = F.transform(F.array(equal), lambda e: F.array_max(F.transform(F.sequence(F.lit(1), F.size(e) - x["width"] + 1), lambda k: total(F.slice(e, k, x["width"])))))
-    return windows[0] / x["width"]
+    skip = F.greatest(F.lit(0), -F.col("d"))
+    size = F.least(F.size("g") - skip, F.size("c") - F.col("d") - skip)
+    equal = F.zip_with(F.slice("c", F.col("d") + skip + 1, size), F.slice("g", skip + 1, size), lambda a, b: (a == b).cast("int"))
+    windows = F.transform(F.array(equal), lambda e: F.array_max(F.transform(F.sequence(F.lit(1), F.size(e) - F.col("width") + 1), lambda k: total(F.slice(e, k, F.col("width"))))))
+    return windows[0] / F.col("width")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) -> DataFrame:
@@ -79,14 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = 0.8) ->
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), hashed("text").alias("h")).groupBy("h").agg(F.min("item_id").alias("item_id"))
     items = items.where(F.size("h") >= LEAST)
     keyed = keyed_documents(docs).where("text is not null").select("did", "tid", hashed("text").alias("h"))
-
-    hit = hits(keyed, items.where(F.size("h") >= SPAN), MASKS + MORE_MASKS, SPAN)
-    for n in sorted(r["n"] for r in items.where(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect()):  # at most SPAN - LEAST lengths
-        hit = hit.unionAll(hits(keyed, items.where(F.size("h") == n), blocks(n), n))
-    hit = hit.distinct().groupBy("did", "tid").agg(F.collect_list(F.struct("item_id", "d", "width", "g")).alias("hits"))
-    both = keyed.join(hit, ["did", "tid"])
-    shares = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), best_share(F.col("h"), x).alias("share")))
-    hit = both.select("did", "tid", F.explode(F.filter(shares, lambda x: x["share"] >= similar)).alias("x")).select("did", "tid", "x.item_id", "x.share")
+    hit = hits(keyed, items).select("did", "tid", "item_id", best_share().alias("share")).where(F.col("share") >= similar)
     return hit.groupBy("did", "tid", "item_id").agg(F.max("share").alias("best")).groupBy("did", "tid").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.max("best").alias("best"))
 
 
