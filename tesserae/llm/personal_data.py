@@ -9,11 +9,13 @@ logistic classifier is fitted to the posteriors. Candidates it accepts become sp
 in any case, and others never overlap them.
 
 Spans are kind:start:end in code points, by start, then kind. Nulls: a null text is empty; a null doc_id is an id of
-its own. Repeated rows count each. An empty table gives an empty result. Other columns are ignored.
+its own. Repeated rows count each. A text is held by one task and read once for each kind. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -42,8 +44,23 @@ LOOSE = {
 }
 NEAR = re.compile(r"\b(e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|credit|ssn|social|iban|account|ip|address|host|born|name|reach)\b", re.I)
 NOT = re.compile(r"\b(version|v|isbn|issn|order|page|section|chapter|license|licence|build|release|figure|table|no)\b", re.I)
-DOMAINS = frozenset("com org net edu gov io info biz de fr es uk us it nl ch at be eu ca au jp cn br in ru pl se no dk fi".split())
-NAMES = frozenset("James Mary John Anna Peter Maria Paul Laura Thomas Julia David Sarah Michael Sophie Carlos Lucia Pierre Claire Hans Emma".split())
+# Fixed values of the gazetteer: top-level domains of general use and of countries, calling codes, the first digits of
+# card issuers, national identifiers of IBANs, and given names, by public lists.
+GENERIC = "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx app dev io ai co me tv online site shop store blog cloud tech xyz top club live news email"
+#: Two letters are a country's domain but for the codes left to users (aa, qm to qz, xa to xz, zz).
+COUNTRY = re.compile(r"(?!aa|q[m-z]|x|zz)[a-z]{2}")
+DOMAINS = frozenset(GENERIC.split())
+#: Calling codes of the numbering plan: of one digit, of two, and the zones of those of three.
+CALLING = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(2[1-69]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]")
+ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[0457689]|6[0-9]")
+IBANS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
+NAMES = frozenset(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Karen Charles Sarah Christopher Lisa Daniel Nancy Matthew Sandra Anthony Ashley Mark Emily "
+    "Steven Kimberly Andrew Margaret Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Timothy Stephanie Ronald Rebecca Jason Sharon Edward Laura Jeffrey Cynthia Ryan Amy Jacob Kathleen "
+    "Anna Maria Peter Julia Sophie Carlos Lucia Pierre Claire Hans Emma Jean Marie Louis Camille Nicolas Philippe Jose Carmen Juan Antonio Francisco Manuel Isabel Ana Pedro Miguel Luis Pablo Elena Sofia "
+    "Klaus Sabine Wolfgang Monika Stefan Petra Andreas Ursula Jan Piet Ingrid Lars Erik Astrid Giovanni Giulia Marco Chiara Luca Francesca Ivan Olga Sergei Natalia Dmitri Tatiana Wei Li Ming Yuki Hiroshi Kenji "
+    "Ahmed Fatima Mohammed Aisha Omar Layla Ali Hassan Raj Priya Amit Anjali Sanjay Deepa".split()
+)
 REACH = 40
 YES, NO = 1, 2
 
@@ -93,19 +110,36 @@ def fixed(text: str) -> list[tuple[int, int, str]]:
 
 def loose(text: str, base: list) -> list[tuple[int, int, str]]:
     out = []
-    taken = sorted((s, e) for s, e, _ in base)
+    taken = _merged([(s, e) for s, e, _ in base])
     digits = bool(DIGIT.search(text))
     low = text.lower() if "at]" in text or "at)" in text or "AT]" in text or "AT)" in text else ""
     for kind in MORE:
         if kind in ("national", "ssn", "iban") and not digits or kind == "spelled" and not low or kind == "person" and not ("Mr" in text or "Ms" in text or "Dr" in text):
             continue
-        for m in LOOSE[kind].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((*m.span(), kind))
-                taken.append(m.span())
+        found = [m.span() for m in LOOSE[kind].finditer(text)]
+        free = [x for x in found if not _overlaps(taken, *x)]
+        out += [(s, e, kind) for s, e in free]
+        if free:
+            taken = _merged([*taken, *free])
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint stretches, in order, that cover the same places."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _overlaps(taken: list[tuple[int, int]], s: int, e: int) -> bool:
+    i = bisect.bisect_left(taken, (e,))  # the stretches before begin before e
+    return i > 0 and taken[i - 1][1] > s
+
+
 def votes(text: str, s: int, e: int, kind: str) -> tuple[int, int, int, int, int]:
     """Form, validity, gazetteer, context and borders."""
     own = text[s:e]
@@ -113,7 +147,8 @@ def votes(text: str, s: int, e: int, kind: str) -> tuple[int, int, int, int, int
     form = YES if kind in ("email", "card", "phone", "ssn", "iban", "spelled") else 0
     valid = gazetteer = 0
     if kind in ("email", "spelled"):
-        gazetteer = YES if re.split(r"[^A-Za-z]+", own.lower())[-1] in DOMAINS else NO
+        domain = re.split(r"[^a-z]+", own.lower())[-1]
+        gazetteer = YES if domain in DOMAINS or COUNTRY.fullmatch(domain) else NO
         valid = NO if ".." in own or own[0] == "." else YES
     elif kind == "ip":
         parts = [int(x.lstrip("0") or 0) for x in own.split(".")]
@@ -121,10 +156,10 @@ def votes(text: str, s: int, e: int, kind: str) -> tuple[int, int, int, int, int
         form = YES if all(len(x) <= 3 for x in own.split(".")) else NO
     elif kind == "card":
         valid = YES
-        gazetteer = YES if digits[0] in "3456" else NO
+        gazetteer = YES if ISSUERS.match(digits) else NO
     elif kind == "phone":
         valid = YES
-        gazetteer = YES if digits[0] in "123456789" else NO
+        gazetteer = YES if CALLING.match(digits) else NO
     elif kind == "national":
         valid = YES if digits[0] not in "01" and digits[3] not in "01" else NO
     elif kind == "ssn":
@@ -132,6 +167,7 @@ def votes(text: str, s: int, e: int, kind: str) -> tuple[int, int, int, int, int
     elif kind == "iban":
         bare = own.replace(" ", "")
         valid = YES if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 else NO
+        gazetteer = YES if IBANS.get(bare[:2]) == len(bare) else NO
     elif kind == "person":
         gazetteer = YES if own.split()[1] in NAMES else NO
         form = YES
