@@ -11,7 +11,8 @@ p-values of all candidates of the corpus go through the Benjamini-Hochberg proce
 -log10 p, so nothing is sorted in one place). What is left, and overlaps no fixed span, is a span of the kind random.
 
 Spans are kind:start:end in code points. Nulls: a null text is empty; a null doc_id is an id of its own. Rows with one
-doc_id and one text get equal results. An empty table gives an empty result. Other columns are ignored.
+doc_id and one text get equal results. A text is held by one task, and split once for each pattern it holds. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ KINDS = ("assign", "access", "hex")
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
-    "hex": r"[0-9a-f]+",
+    "hex": r"(?<![0-9a-f])[0-9a-f]{16,}+",  # [0-9a-f]+ of 16 or more characters: its matches are maximal runs
 }
 #: What a text must hold for a pattern to give a span: bounded forms of the same patterns.
 QUICK = {
@@ -39,6 +40,8 @@ QUICK = {
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Share of neighbouring characters of natural strings that change between digit, capital and small letter.
 NATURAL = 0.12
+#: Scores end here (-log10 p), and with them the bins of the histogram: 20 a unit.
+MOST_SCORE = 400
 
 
 def places(rows: DataFrame, kind: str, pattern: str) -> DataFrame:
@@ -90,7 +93,7 @@ def battery(found: DataFrame) -> DataFrame:
     z = (changes - NATURAL * (F.col("n") - 1)) / F.sqrt(NATURAL * (1 - NATURAL) * (F.col("n") - 1))
     # the smallest p-value of three tails (one, and two of serial), for their number
     against = F.greatest(F.lit(0.0), F.greatest(tail(F.col("uniform")), tail(F.abs("serial"))) - math.log10(3))
-    return rows.withColumn("score", F.greatest(F.lit(0.0), tail(z) - against)).select("did", "tid", "start", "end", "alphabet", "uniform", "serial", "score")
+    return rows.withColumn("score", F.least(F.lit(float(MOST_SCORE)), F.greatest(F.lit(0.0), tail(z) - against))).select("did", "tid", "start", "end", "alphabet", "uniform", "serial", "score")
 
 
 def discoveries(tested: DataFrame, rate: float) -> DataFrame:
