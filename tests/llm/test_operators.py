@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bwt_dedup, decontamination, hamming_index, language_id, line_dedup, near_dedup, packing, personal_data, secret_scan, substring_dedup
+from tesserae.llm import bwt_dedup, decontamination, hamming_index, language_id, line_dedup, near_dedup, packing, personal_data, secret_scan, stretches, substring_dedup
 
 RNG = np.random.default_rng(7)
 VOCAB = ["".join(RNG.choice(list("abcdefghilmnoprstuéß"), RNG.integers(2, 8))) for _ in range(400)]
@@ -47,13 +47,17 @@ def rows_of(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+@pytest.mark.parametrize("most", (512, 1))
 @pytest.mark.parametrize("window", (20, 3))
-def test_substrings(docs, empty, window):
+def test_substrings(docs, empty, monkeypatch, window, most):
+    """Removed words by brute force; every factor equals its source, which lies earlier."""
+    monkeypatch.setattr(stretches, "MOST", most)
     got = rows_of(substring_dedup.substring_dedup(docs, window))
     order = [(-1, docs.where("doc_id is null").first()["text"]), *enumerate(TEXTS)]
+    words = {i: WORD.findall(t or "") for i, t in order}
     seen = set()
-    for i, t in order:
-        w = WORD.findall(t or "")
+    for i, _ in order:
+        w = words[i]
         gone = set()
         for p in range(len(w) - window + 1):
             k = tuple(w[p : p + window])
@@ -62,9 +66,38 @@ def test_substrings(docs, empty, window):
             seen.add(k)
         r = got[None if i < 0 else i]
         assert (r["n_words"], r["n_removed"], r["kept"]) == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)), i
+        for f in r["factors"]:
+            source = -1 if f["source"] is None else f["source"]
+            assert (source, f["at"]) < (i, f["start"]) and f["words"] >= window
+            assert words[source][f["at"] : f["at"] + f["words"]] == w[f["start"] : f["start"] + f["words"]]
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_factors_are_greedy_and_longest():
+    """Of a block's stretches, against a plain search."""
+    own = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(own.integers(2, 7))
+        before = own.integers(0, 5, n)
+        lists = [own.integers(0, 3, int(own.integers(b + 1, b + 6))).astype(np.uint64) for b in before]
+        begin = np.r_[0, np.cumsum([len(x) for x in lists])]
+        got = sorted(zip(*(x.tolist() for x in substring_dedup.parse(np.zeros(n, np.int64), before, np.concatenate(lists), begin)[:3]), strict=True))
+        want = []
+        for r in range(n):
+            at = 0
+            while at < len(lists[r]):
+                best = 0
+                for q in range(r):
+                    k = 0
+                    while at + k < len(lists[r]) and 0 <= before[q] - before[r] + at + k < len(lists[q]) and lists[q][before[q] - before[r] + at + k] == lists[r][at + k]:
+                        k += 1
+                    best = max(best, k)
+                if best:
+                    want.append((r, at, best))
+                at += max(best, 1)
+        assert got == sorted(want)
+
+
 @pytest.mark.parametrize("hot", (20_000, 0))
 def test_byte_strings(docs, empty, monkeypatch, hot):
     monkeypatch.setattr(bwt_dedup, "HOT", hot)
