@@ -2,37 +2,36 @@
 
 Only windows whose anchor repeats (see anchors.py) can repeat. The stretch of a document around such an anchor is a
 fragment, laid out so that all anchors share one column; equal windows then share their columns too. Equal fragments
-are counted and kept once. Blocks of distinct fragments are built column by column from the right: each round inserts
-one symbol per fragment in front of its suffix, which updates the collection's order (a stable sort by the new symbol
-of the order before, as in the multi-string Burrows-Wheeler transform) and the longest common prefixes of neighbours
-(one more than the smallest one between them, where the symbols agree). A neighbour with a common prefix of `length`
-bytes is a repeat. A column is read once, in sequence, and only the state of the last round is held; columns come
-from the sorted shuffle files of Spark rather than from files of this operator, since machine-local files are lost
-with an executor.
+are counted and kept once. Blocks of distinct fragments (stretches.py) are built column by column from the right: each
+round inserts one symbol per fragment in front of its suffix, which updates the collection's order (a stable sort by
+the new symbol of the order before, as in the multi-string Burrows-Wheeler transform) and the longest common prefixes
+of neighbours (one more than the smallest one between them, where the symbols agree). A neighbour with a common prefix
+of `length` bytes is a repeat. A column is read once, in sequence, and only the state of the last round is held.
 
-Anchors with more than HOT distinct fragments (flanks of one very frequent passage) would make one block grow with
-the corpus; their windows are compared by 128-bit hashes in a distributed aggregate instead.
+The fragments of a very frequent anchor are cut in halves by the distance of their windows from it, and each half is
+dealt by the bytes its windows share, until a block is small; so the largest groups go the same way. A block holds some
+20,000 fragments at most, of under 2 * `length` bytes: its columns fit in memory, and come from the sorted shuffle files
+of Spark. Files of this operator's own would hold the same bytes once more.
 
 Nulls: a null text is empty. Texts under `length` bytes stay whole. Rows with one doc_id and one text count as two
-places, so both lose what they share. An empty table gives an empty result. Other columns are ignored.
+places, so both lose what they share; ties do not occur. A text is held by one task as about 60 bytes for each of its
+bytes. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.anchors import Windows, in_sketch, opened, repeated_anchors
-from tesserae.llm.common import BASES, arrow_map, byte_values, chunks, gram_hashes, keyed_documents, written
+from tesserae.llm.common import arrow_map, byte_values, chunks, keyed_documents, written
+from tesserae.llm.stretches import class_id, solved
 
 ANCHOR_BYTES = 24
-#: Distinct fragments of one anchor that a block takes; windows of anchors with more are aggregated by hash.
-HOT = 20_000
-#: Distinct fragments of a block.
-BLOCK = 20_000
-ROWS = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.binary())])
 
 
 def _byte_layout(buf: np.ndarray, offsets: np.ndarray):
@@ -102,13 +101,9 @@ def _packed(starts: np.ndarray, length: int) -> bytes:
     return np.stack([a, b], 1).astype("<i4").tobytes()
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """did, tid, spans array<struct<start, spans>>: for each document that has any, byte runs of repeated windows,
-    as packed runs from the start of a fragment."""
-    windows = Windows(length, min(ANCHOR_BYTES, length), _byte_layout)
-    keyed = keyed_documents(docs)
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(repeated_anchors(keyed, windows))
+def fragments(keyed: DataFrame, windows: Windows, sketch) -> DataFrame:
+    """did, tid, start, key (the anchor), before (bytes in front of it) and content of every stretch whose anchor may
+    repeat."""
 
     def emit(batches):
         bits = opened(sketch.value)
@@ -125,87 +120,81 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 h = grams[place[first]]
                 hit = np.flatnonzero(in_sketch(bits, h))
                 first, last, h = first[hit], last[hit], h[hit]
-                s, e, own = starts[first], starts[last] + length, own[first]
+                s, e, own = starts[first], starts[last] + windows.length, own[first]
                 raw = buf.tobytes()
                 for k in range(0, len(s), 20_000):
                     t = slice(k, k + 20_000)
                     parts = [raw[a:b] for a, b in zip(s[t].tolist(), e[t].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (did[i + own[t]], tid[i + own[t]], s[t] - at[own[t]], h[t].view(np.int64), (place[first] - s)[t])] + [pa.array(parts, pa.binary())],
-                        ["did", "tid", "start", "anchor", "before", "fragment"],
-                    )
-
-    fragments = arrow_map(keyed.select("did", "tid", "text"), emit, "did long, tid long, start long, anchor long, before long, fragment binary")
-    fragments = fragments.withColumns({"c1": F.xxhash64("fragment"), "c2": F.xxhash64(F.lit("second"), "fragment")})
-    classes = fragments.groupBy("anchor", "before", "fragment").agg(F.count("*").alias("n"))
-    classes = written(classes.withColumns({"c1": F.xxhash64("fragment"), "c2": F.xxhash64(F.lit("second"), "fragment")}), "classes")
-    sizes = classes.groupBy("anchor").agg(F.count("*").alias("m"))
-    hot = sizes.where(F.col("m") > HOT).select("anchor")
-    each = classes.join(hot, "anchor", "left_anti")
-    spans = _blocks(each, length)
-    if hot.take(1):
-        spans = spans.unionAll(_by_hash(classes.join(hot, "anchor", "left_semi"), length))
-    found = fragments.select("did", "tid", "start", "c1", "c2").join(spans, ["c1", "c2"])
-    return found.groupBy("did", "tid").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
-
-
-def _blocks(classes: DataFrame, length: int) -> DataFrame:
-    def solve(held: list):
-        t = pa.Table.from_batches(held)
-        n, text = t.column("n").to_numpy(), t.column("fragment").to_pylist()
-        c1, c2 = t.column("c1").to_numpy(), t.column("c2").to_numpy()
-        anchor = t.column("anchor").to_numpy()
-        _, inverse, size = np.unique(anchor, return_inverse=True, return_counts=True)
+                    cols = (did[i + own[t]], tid[i + own[t]], s[t] - at[own[t]], h[t].view(np.int64), (place[first] - s)[t].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(parts, pa.binary())], ["did", "tid", "start", "key", "before", "content"])
+
+    return arrow_map(keyed.select("did", "tid", "text"), emit, "did long, tid long, start long, key long, before int, content binary")
+
+
+def halves(length: int):
+    """Cuts fragments of a frequent key in two: the windows that begin nearer to the anchor and those that begin
+    farther from it, by halves of the range lo to hi of distances. All windows of a half share the bytes between its
+    farthest start and its first end, and these become its key: in the end, the whole window."""
+
+    def split(batches):
+        for b in batches:
+            rows = []
+            names = ("c1", "c2", "key", "lo", "hi", "before", "n", "content")
+            for c1, c2, key, lo, hi, before, n, content in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in names), strict=True):
+                middle = (lo + hi + 1) // 2
+                for near, far in ((lo, middle), (middle, hi)):  # windows that begin near <= distance < far in front of the anchor
+                    first, last = max(0, before - far + 1), min(len(content) - length, before - near)
+                    if near < far and first <= last:
+                        shared = content[before - near : before - far + 1 + length]
+                        part = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=f"{key} {near} {far}".encode()).digest(), "little", signed=True)
+                        rows.append((c1, c2, first, part, near, far, before - first, n, content[first : last + length]))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["p1", "p2", "shift", "key", "lo", "hi", "before", "n", "content"])
+
+    return split
+
+
+PART = "p1 long, p2 long, shift int, key long, lo int, hi int, before int, n long, content binary"
+
+
+def repeated_block(length: int):
+    """The repeated windows of the classes of a block's keys, built column by column."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        n, text = t.column("n").to_numpy(), t.column("content").to_pylist()
+        c1, c2, key = (t.column(x).to_numpy() for x in ("c1", "c2", "key"))
+        _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
         build = np.flatnonzero(size[inverse] > 1)
         spans: dict[int, bytes] = {}
         for i in np.flatnonzero(n > 1).tolist():
             spans[i] = _packed(np.arange(len(text[i]) - length + 1), length)
         if len(build):
-            before = t.column("before").to_numpy()[build]
+            before = t.column("before").to_numpy()[build].astype(np.int64)
             dup = repeats([text[i] for i in build.tolist()], before, length)
             shift = int(before.max()) - before
             for j in np.flatnonzero(dup.any(0) & (n[build] == 1)).tolist():
                 spans[int(build[j])] = _packed(np.flatnonzero(dup[:, j]) - shift[j], length)
-        keys = np.array(sorted(spans), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c1[keys]), pa.array(c2[keys]), pa.array([spans[i] for i in keys.tolist()], pa.binary())], schema=ROWS)
+        rows = np.array(sorted(spans), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c1[rows]), pa.array(c2[rows]), pa.array([spans[i] for i in rows.tolist()], pa.binary())], ["c1", "c2", "spans"])
 
-    def build(batches):
-        held, rows = [], 0
-        for batch in batches:
-            a = batch.column(0).to_numpy()
-            begin = 0
-            for edge in [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist()]:  # an anchor's first row, or the batch's
-                if rows + edge - begin >= BLOCK and (edge or a[0] != held[-1].column(0)[-1].as_py()):
-                    yield solve([*held, batch.slice(begin, edge - begin)] if edge > begin else held)
-                    held, rows, begin = [], 0, edge
-            held.append(batch.slice(begin))
-            rows += len(a) - begin
-        if held:
-            yield solve(held)
-
-    dealt = classes.select("anchor", "before", "fragment", "n", "c1", "c2").repartition("anchor").sortWithinPartitions("anchor")
-    return arrow_map(dealt, build, "c1 long, c2 long, spans binary")
-
-
-def _by_hash(classes: DataFrame, length: int) -> DataFrame:
-    def emit(batches):
-        for b in batches:
-            c1, c2, n = (b.column(k).to_numpy() for k in (0, 1, 2))
-            for i, buf, offsets in chunks(b.column(3).cast(pa.large_binary()).view(pa.large_string())):
-                two = [gram_hashes(byte_values()[buf], length, x).view(np.int64) for x in BASES]
-                m = np.diff(offsets) - length + 1
-                of = np.repeat(np.arange(len(m)), m)
-                at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                s = at + offsets[:-1][of]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (two[0][s], two[1][s], c1[i + of], c2[i + of], n[i + of], at)], ["h1", "h2", "c1", "c2", "n", "at"])
-
-    def pack(key, t):
-        at = np.unique(t.column("at").to_numpy())
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([_packed(at, length)], pa.binary())], schema=ROWS)])
-
-    rows = arrow_map(classes.select("c1", "c2", "n", "fragment"), emit, "h1 long, h2 long, c1 long, c2 long, n long, at long")
-    often = rows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
-    return rows.join(often, ["h1", "h2"]).select("c1", "c2", "at").groupBy("c1", "c2").applyInArrow(pack, "c1 long, c2 long, spans binary")
+    return solve
+
+
+def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """did, tid, spans array<struct<start, spans>>: for each document that has any, byte runs of repeated windows,
+    as packed runs from the start of a fragment."""
+    windows = Windows(length, min(ANCHOR_BYTES, length), _byte_layout)
+    keyed = keyed_documents(docs)
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated_anchors(keyed, windows))
+    own = fragments(keyed, windows, sketch)
+    reach = F.lit(length - windows.k + 1)
+    classes = own.groupBy("key", "before", "content").agg(F.count("*").alias("n"))
+    classes = written(classes.select("key", F.lit(0).alias("lo"), reach.alias("hi"), "before", "n", "content").withColumns(class_id()), "classes")
+    again = lambda cut: cut.groupBy("key", "lo", "hi", "before", "content").agg(F.sum("n").alias("n")).select("key", "lo", "hi", "before", "n", "content").withColumns(class_id())
+    spans, _ = solved(classes, again, halves(length), PART, repeated_block(length), "spans binary")
+    found = own.select("did", "tid", "start", *[x.alias(n) for n, x in class_id().items()]).join(spans, ["c1", "c2"])
+    return found.groupBy("did", "tid").agg(F.collect_list(F.struct((F.col("start") + F.col("shift")).alias("start"), "spans")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:

@@ -98,10 +98,10 @@ def test_factors_are_greedy_and_longest():
         assert got == sorted(want)
 
 
-@pytest.mark.parametrize("hot", (20_000, 0))
-def test_byte_strings(docs, empty, monkeypatch, hot):
-    monkeypatch.setattr(bwt_dedup, "HOT", hot)
-    length = 60
+@pytest.mark.parametrize(("length", "most"), ((60, 512), (60, 1), (24, 1), (10, 1)))
+def test_byte_strings(docs, empty, monkeypatch, length, most):
+    """Also where every block is split down to single windows."""
+    monkeypatch.setattr(stretches, "MOST", most)
     got = rows_of(bwt_dedup.suffix_dedup(docs, length))
     every = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     count = {}
