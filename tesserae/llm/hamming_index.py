@@ -1,22 +1,26 @@
 """Nearest vectors by multi-index hashing of learned binary codes.
 
 Codes: ROTATIONS rotations are learned by iterative quantisation on a bounded sample (SAMPLE rows, chosen by a hash of
-vec_id); each gives one bit per principal dimension. Rows are dealt over index blocks of about BLOCK rows; in a block
-the code is cut into 16-bit substrings and every substring has a directory of its present values. By the pigeonhole
-principle a code within Hamming radius r of a query has a substring within r / substrings of the query's, so probing
-all directories to that radius finds every one. The radius is set on the sample so that the true neighbours of its
+vec_id); each gives one bit per principal dimension. Rows are dealt over index blocks of at most BLOCK rows, each
+indexed once for all queries of a part; the code is cut into 16-bit substrings and every substring has a directory of
+its present values. By the pigeonhole principle a code within Hamming radius r of a query has a substring within
+r / substrings of the query's, so probing all directories to that radius finds every one: by the values within reach
+where these are few, else by the values present. The radius is set on the sample so that the true neighbours of its
 rows are retrieved with the recall MARGIN; a block with under k codes in it widens the radius until it has them. What
 is retrieved is ranked by the inner product in double precision on the original vectors.
 
-Queries meet every index block, in blocks of QUERIES; each gives k rows a block, and the k best of all stay.
+Queries meet every index block, in parts of at most BLOCK; each gives k rows a block, and the k best of all stay. Up to
+BLOCK queries, rows are shuffled once, and queries once for each block.
 
 Nulls: vectors that are null, zero, of another length than most or hold null or non-finite components take no part;
-neither does a row with a null vec_id. Repeated rows: a row is no candidate of its own id; others count each. An empty
-table gives an empty result. Other columns are ignored.
+neither does a row with a null vec_id. Repeated rows: a row is no candidate of its own id; others count each. Ties go to
+the smaller vec_id. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,15 +30,16 @@ from tesserae.llm.common import written
 
 ROTATIONS = 2
 SAMPLE = 4_000
-MARGIN = 0.985
-BLOCK = 16_384
-QUERIES = 1_024
+MARGIN = 0.97
+#: Rows of a block, and queries of a part; and the rows for which a block more is worth its while.
+BLOCK, LEAST_BLOCK = 65_536, 2_048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     good = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), (e if single else e.cast("array<double>")).alias("embedding"))
 
 
 def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +83,23 @@ class Index:
             order = np.argsort(codes[:, j], kind="stable")
             values, first = np.unique(codes[order, j], return_index=True)
             self.directories.append((values, np.r_[first, len(order)], order))
+        self.masks = np.argsort(np.bitwise_count(np.arange(65536, dtype=np.uint16)), kind="stable").astype(np.uint16)
+
+    def probe(self, values: np.ndarray, own: np.uint16, reach: int) -> np.ndarray:
+        """Which of a directory's values differ from `own` in at most `reach` bits."""
+        n = sum(math.comb(16, i) for i in range(min(reach, 16) + 1))
+        if 8 * n > len(values):
+            return np.flatnonzero(np.bitwise_count(values ^ own) <= reach)
+        near = self.masks[:n] ^ own
+        at = np.minimum(np.searchsorted(values, near), len(values) - 1)
+        return at[values[at] == near]
 
     def within(self, code: np.ndarray, r: int) -> np.ndarray:
         """Rows whose code is within r of `code`."""
         reach = r // codes_in(code)
         seen = np.zeros(len(self.ids), bool)
         for j, (values, first, order) in enumerate(self.directories):
-            hit = np.flatnonzero(np.bitwise_count(values ^ code[j]) <= reach)
+            hit = self.probe(values, code[j], reach)
             if len(hit) == len(values):
                 seen[:] = True
                 break
@@ -103,7 +118,7 @@ class Index:
             if len(rows) >= min(k, most):
                 break
             r += max(4, r // 4)
-        score = np.einsum("ij,j->i", self.x[rows], q)
+        score = np.einsum("ij,j->i", self.x[rows].astype(np.float64), q.astype(np.float64))
         if len(rows) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
             pick = score >= least
@@ -128,13 +143,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not len(pick):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = int(pick.embedding.map(len).mode()[0])
-    sample = np.stack([x for x in pick.embedding if len(x) == width])
+    sample = np.stack([x for x in pick.embedding if len(x) == width]).astype(np.float64)
     mean, projection = learn(sample)
     r = radius(sample, encode(sample, mean, projection), k, MARGIN)
     base, asked = base.where(F.size("embedding") == width), asked.where(F.size("embedding") == width)
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK), min(spark.sparkContext.defaultParallelism, n // LEAST_BLOCK))
     rows = base.withColumns({"block": F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int"), "query": F.lit(False)})
-    groups = max(1, -(-asked.count() // QUERIES))
+    groups = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(groups)).cast("int"))
     parts = F.sequence(F.lit(0), F.lit(groups - 1))
     left = rows.select("block", F.explode(parts).alias("part"), "query", "vec_id", "embedding")
@@ -144,7 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         query = t.column("query").to_numpy(zero_copy_only=False)
         ids = t.column("vec_id").to_numpy()
         x = t.column("embedding").combine_chunks().values.to_numpy().reshape(-1, width)
-        code = encode(x, mean, projection)
+        code = encode(x.astype(np.float64), mean, projection)
         index = Index(ids[~query], x[~query], code[~query])
         found = [[], [], []]
         if len(index.ids):

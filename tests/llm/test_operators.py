@@ -489,7 +489,11 @@ def test_language_model_holds_every_key(spark, sf, monkeypatch):
     assert (got[0].lang_pred == got[1].lang_pred).all() and np.allclose(got[0].entropy, got[1].entropy, rtol=1e-4, equal_nan=True)
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize(("block", "least"), ((65_536, 2_048), (150, 10), (7, 1)))
+def test_nearest(spark, monkeypatch, block, least):
+    """Also over several blocks and parts of queries."""
+    monkeypatch.setattr(hamming_index, "BLOCK", block)
+    monkeypatch.setattr(hamming_index, "LEAST_BLOCK", least)
     x = RNG.normal(size=(600, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, x[3].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -505,6 +509,25 @@ def test_nearest(spark):
         assert np.allclose(own.sort_values("rank").score.values, np.sort(own.score.values)[::-1])
     assert np.mean(hits) >= 0.9 and len(hits) == 30
     assert hamming_index.nearest(df.where("false"), df.where("false")).count() == 0
+    none = spark.createDataFrame([(0, []), (1, None)], "vec_id long, embedding array<float>")
+    assert hamming_index.nearest(none, none).count() == 0
+
+
+def test_nearest_of_vectors_of_mixed_widths(spark):
+    """Those of another length than most take no part; doubles stay doubles."""
+    x = RNG.normal(size=(50, 8))
+    df = spark.createDataFrame([(i, v.tolist()[: 5 if i in (0, 7) else 8]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hamming_index.nearest(df, df.where("vec_id % 20 = 0"), 60).toPandas()
+    assert set(got.query_id) == {20, 40} and len(got) == 2 * 47 and 7 not in set(got.vec_id)
+    assert np.array_equal(got.score.to_numpy(), np.einsum("ij,ij->i", x[got.query_id], x[got.vec_id]))
+
+
+def test_probing_finds_every_code_within_the_radius():
+    codes = RNG.integers(0, 65536, (3000, 4)).astype(np.uint16)
+    codes[::3] = codes[0] ^ (1 << RNG.integers(0, 16, (1000, 4))).astype(np.uint16)
+    index = hamming_index.Index(np.arange(3000), np.zeros((3000, 1)), codes)
+    for r in (0, 3, 4, 9, 30):
+        assert index.within(codes[0], r).tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(1) <= r).tolist()
 
 
 def test_pipeline_keeps_clean_documents(spark, sf):
