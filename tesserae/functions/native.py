@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 def bytes_of(data: Column) -> Column:
     """The bytes of a string or binary column."""
+    return F.transform(F.regexp_extract_all(F.hex(data.cast("binary")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
+def words_of(data: Column) -> Column:
+    """Its 16-bit big-endian words, an odd last byte as the high one."""
     text = F.hex(data.cast("binary"))
-    at = F.sequence(F.lit(0), F.greatest(F.octet_length(data.cast("binary")) - 1, F.lit(0)))
-    ints = F.transform(at, lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(data.isNull(), F.lit(None)).when(F.octet_length(data.cast("binary")) == 0, F.array().cast("array<int>")).otherwise(ints)
+    return F.transform(F.regexp_extract_all(text, F.lit(".{2,4}"), F.lit(0)), lambda x: F.conv(F.rpad(x, 4, "0"), 16, 10).cast("long"))
 
 
 def binary_of(ints: Column) -> Column:
@@ -41,12 +44,37 @@ def delta_encode(x: Column, dist: int = 1, bits: int = 0) -> Column:
     return F.when(F.size(x) == 0, x.cast("array<long>") if bits else x).otherwise(d)
 
 
+def _running(x: Column, zero: Column, add) -> Column:
+    """Running totals along an array: within blocks of about the root of its length, then of the blocks' totals, so an
+    array of n elements is copied in n ** 1.5 steps and not in n squared."""
+
+    def scan(values: Column) -> Column:  # the totals before and after each element
+        return F.aggregate(values, F.array(zero), lambda a, v: F.concat(a, F.array(add(F.element_at(a, -1), v))))
+
+    def blocked(x: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / width).cast("int") - 1, F.lit(0))), lambda k: scan(F.slice(x, k * width + 1, width)))
+
+        def shifted(parts: Column) -> Column:
+            before = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, t: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda v: add(t, v))))
+
+        return _once(parts, shifted)
+
+    return F.when(F.size(x) == 0, F.slice(F.array(zero), 1, 0)).otherwise(_once(x, blocked))
+
+
+def _once(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def delta_decode(x: Column, bits: int = 0) -> Column:
     """Running sums along an array."""
-    kind = "long" if bits else "double"
-    step = lambda s, v: F.struct((F.pmod(s["t"] + v.cast(kind), F.lit(1 << bits)) if bits else s["t"] + v.cast(kind)).alias("t"), F.concat(s["a"], F.array(s["t"] + v.cast(kind))).alias("a"))
-    out = F.aggregate(x, F.struct(F.lit(0).cast(kind).alias("t"), F.array().cast(f"array<{kind}>").alias("a")), step, lambda s: s["a"])
-    return F.transform(out, lambda v: F.pmod(v, F.lit(1 << bits))) if bits else out
+    zero = F.lit(0).cast("long" if bits else "double")
+    kind = "array<long>" if bits else "array<double>"
+    add = (lambda a, b: F.pmod(a + b, F.lit(1 << bits))) if bits else (lambda a, b: a + b)
+    return _running(x.cast(kind), zero, add)
 
 
 def xor_encode(x: Column) -> Column:
@@ -56,8 +84,7 @@ def xor_encode(x: Column) -> Column:
 
 def xor_decode(x: Column) -> Column:
     """Running XOR."""
-    step = lambda s, v: F.struct(s["t"].bitwiseXOR(v.cast("long")).alias("t"), F.concat(s["a"], F.array(s["t"].bitwiseXOR(v.cast("long")))).alias("a"))
-    return F.aggregate(x, F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<long>").alias("a")), step, lambda s: s["a"])
+    return _running(x.cast("array<long>"), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
 
 
 def bitorder(ints: Column) -> Column:
@@ -109,12 +136,10 @@ def crc32(data: Column) -> Column:
 
 def fletcher32(data: Column) -> Column:
     """Sums of 16-bit big-endian words, an odd last byte as the high one."""
-    b = bytes_of(data)
-    words = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(b) - 1) / 2), F.lit(0))), lambda i: (F.coalesce(F.get(b, i * 2), F.lit(0)) * 256 + F.coalesce(F.get(b, i * 2 + 1), F.lit(0))).cast("long"))
     fold = lambda v: F.when(v > 65535, v - 65535).otherwise(v)
     step = lambda s, w: F.struct(fold(s["a"] + w).alias("a"), fold(s["b"] + fold(s["a"] + w)).alias("b"))
     zero = F.lit(0).cast("long")
-    return F.aggregate(words, F.struct(zero.alias("a"), zero.alias("b")), step, lambda s: s["b"] * 65536 + s["a"])
+    return F.aggregate(words_of(data), F.struct(zero.alias("a"), zero.alias("b")), step, lambda s: s["b"] * 65536 + s["a"])
 
 
 def djb2(data: Column) -> Column:
@@ -123,33 +148,78 @@ def djb2(data: Column) -> Column:
 
 
 # ---- row filters: the same codecs over the rows of a table ----
+#
+# A key with many rows is cut into ranges of the first order column, so it has many tasks; each range is coded by itself
+# and takes up what the ranges before it leave (a table of one row for each key and range).
+
+#: Ranges that the order is cut into.
+RANGES = 64
+_RANGED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _range: the range of the first order column, by quantiles of it; equal values share one."""
+    if dict(df.dtypes)[order[0]] not in _RANGED:
+        return df.withColumn("_range", F.lit(0))
+    bounds = df.agg(F.percentile_approx(order[0], [i / RANGES for i in range(1, RANGES)])).first()[0]
+    edges = sorted(set(bounds or []))
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col(order[0]))) if edges else F.lit(0)
+    return df.withColumn("_range", F.coalesce(place, F.lit(-1)))
+
+
+def _carried(df: DataFrame, order: list[str], by: list[str], leaves: dict[str, Column], carries) -> DataFrame:
+    """df, which has _range, with what the ranges before each row's own leave: `leaves` aggregates a range, and
+    carries(window over the ranges before) names the columns to join."""
+    ends = df.groupBy(*by, "_range").agg(*[x.alias(n) for n, x in leaves.items()])
+    w = Window.partitionBy(*by).orderBy("_range")
+    ends = ends.select(*by, "_range", *[x.alias(n) for n, x in carries(w).items()])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_range")]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return df.alias("a").join(ends.alias("b"), on).select("a.*", *[f"b.{n}" for n in carries(w)])
+
+
+def _previous(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+    """df with _before, the value of the row before (null for a key's first), and _turn, the row's number in its range."""
+    df = _ranged(df, order)
+    df = _carried(df, order, by, {"_last": F.max_by(F.struct(value), F.struct(*order))}, lambda w: {"_left": F.lag("_last").over(w)[value], "_first": F.row_number().over(w) == 1})
+    w = Window.partitionBy(*by, "_range").orderBy(*order)
+    turn = F.row_number().over(w)
+    df = df.withColumn("_turn", turn).withColumn("_before", F.when(F.col("_turn") == 1, F.col("_left")).otherwise(F.lag(value).over(w)))
+    return df.withColumn("_start", F.col("_first") & (F.col("_turn") == 1)).drop("_left", "_first", "_last", "_turn")
 
 
 def delta_rows(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "delta") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(out, F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)))
+    return _previous(df, value, order, by).withColumn(out, F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before", "_start", "_range")
 
 
 def undelta_rows(df: DataFrame, delta: str, order: list[str], by: list[str], out: str = "value") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(delta).over(w))
+    return _accumulated(df, delta, order, by, out, F.sum, lambda a, b: a + b)
 
 
 def xor_rows(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "xored") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(out, F.col(value).bitwiseXOR(F.coalesce(F.lag(value).over(w), F.lit(0))))
+    return _previous(df, value, order, by).withColumn(out, F.col(value).bitwiseXOR(F.coalesce("_before", F.lit(0)))).drop("_before", "_start", "_range")
 
 
 def unxor_rows(df: DataFrame, xored: str, order: list[str], by: list[str], out: str = "value") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.bit_xor(xored).over(w))
+    return _accumulated(df, xored, order, by, out, F.bit_xor, lambda a, b: a.bitwiseXOR(b))
+
+
+def _accumulated(df: DataFrame, column: str, order: list[str], by: list[str], out: str, total, add) -> DataFrame:
+    df = _carried(_ranged(df, order), order, by, {"_sum": total(column)}, lambda w: {"_carry": total("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = total(column).over(w)
+    return df.withColumn("_own", own).withColumn(out, F.when(F.col("_own").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_own")).otherwise(add(F.col("_carry"), F.col("_own")))).drop("_own", "_carry", "_range")
 
 
 def runs(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
     """Run-length coding: by, run (from 0), value and length of every run of equal values."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    turn = (~F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1)).cast("int")
-    marked = df.withColumn("_turn", turn).withColumn("run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = _previous(df, value, order, by).withColumn("_turn", (~F.col(value).eqNullSafe(F.col("_before")) & ~F.col("_start")).cast("int"))
+    marked = marked.select(*dict.fromkeys([*by, value, *order, "_range", "_turn"]))
+    marked = _carried(marked, order, by, {"_turns": F.sum("_turn")}, lambda w: {"_carry": F.sum("_turns").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("run", F.sum("_turn").over(w) + F.coalesce("_carry", F.lit(0)))
     return marked.groupBy(*by, "run", value).agg(F.count("*").alias("length"))
 
 
