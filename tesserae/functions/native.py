@@ -157,17 +157,27 @@ RANGES = 64
 _RANGED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _range: the range of the first order column, by quantiles of it; equal values share one."""
-    if dict(df.dtypes)[order[0]] not in _RANGED:
-        return df.withColumn("_range", F.lit(0))
-    bounds = df.agg(F.percentile_approx(order[0], [i / RANGES for i in range(1, RANGES)])).first()[0]
-    edges = sorted(set(bounds or []))
-    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col(order[0]))) if edges else F.lit(0)
-    return df.withColumn("_range", F.coalesce(place, F.lit(-1)))
+def order_bounds(df: DataFrame, order: str) -> list:
+    """Where the ranges of an order column begin: quantiles, from one pass over that column alone."""
+    if dict(df.dtypes)[order] not in _RANGED:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)])).first()[0] or []))
 
 
-def _carried(df: DataFrame, order: list[str], by: list[str], leaves: dict[str, Column], carries) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str], bounds: list | None) -> DataFrame:
+    """df with _range: the range of the first order column; equal values share one."""
+    edges = order_bounds(df, order[0]) if bounds is None else bounds
+
+    def place(a: int, b: int) -> Column:  # by halves
+        if a == b:
+            return F.lit(a)
+        middle = (a + b) // 2
+        return F.when(F.col(order[0]) < F.lit(edges[middle]), place(a, middle)).otherwise(place(middle + 1, b))
+
+    return df.withColumn("_range", F.when(F.col(order[0]).isNull(), -1).otherwise(place(0, len(edges))))
+
+
+def _carried(df: DataFrame, by: list[str], leaves: dict[str, Column], carries) -> DataFrame:
     """df, which has _range, with what the ranges before each row's own leave: `leaves` aggregates a range, and
     carries(window over the ranges before) names the columns to join."""
     ends = df.groupBy(*by, "_range").agg(*[x.alias(n) for n, x in leaves.items()])
@@ -180,44 +190,45 @@ def _carried(df: DataFrame, order: list[str], by: list[str], leaves: dict[str, C
     return df.alias("a").join(ends.alias("b"), on).select("a.*", *[f"b.{n}" for n in carries(w)])
 
 
-def _previous(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
-    """df with _before, the value of the row before (null for a key's first), and _turn, the row's number in its range."""
-    df = _ranged(df, order)
-    df = _carried(df, order, by, {"_last": F.max_by(F.struct(value), F.struct(*order))}, lambda w: {"_left": F.lag("_last").over(w)[value], "_first": F.row_number().over(w) == 1})
+def _previous(df: DataFrame, value: str, order: list[str], by: list[str], bounds: list | None) -> DataFrame:
+    """df with _before, the value of the row before (null for a key's first), and _start, whether it is a key's first."""
+    df = _ranged(df, order, bounds)
+    last = F.max_by(value, order[0] if len(order) == 1 else F.struct(*order))
+    df = _carried(df, by, {"_last": last}, lambda w: {"_left": F.lag("_last").over(w), "_first": F.row_number().over(w) == 1})
     w = Window.partitionBy(*by, "_range").orderBy(*order)
     turn = F.row_number().over(w)
     df = df.withColumn("_turn", turn).withColumn("_before", F.when(F.col("_turn") == 1, F.col("_left")).otherwise(F.lag(value).over(w)))
-    return df.withColumn("_start", F.col("_first") & (F.col("_turn") == 1)).drop("_left", "_first", "_last", "_turn")
+    return df.withColumn("_start", F.col("_first") & (F.col("_turn") == 1)).drop("_left", "_first", "_turn")
 
 
-def delta_rows(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "delta") -> DataFrame:
-    return _previous(df, value, order, by).withColumn(out, F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before", "_start", "_range")
+def delta_rows(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "delta", bounds: list | None = None) -> DataFrame:
+    return _previous(df, value, order, by, bounds).withColumn(out, F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before", "_start", "_range")
 
 
-def undelta_rows(df: DataFrame, delta: str, order: list[str], by: list[str], out: str = "value") -> DataFrame:
-    return _accumulated(df, delta, order, by, out, F.sum, lambda a, b: a + b)
+def undelta_rows(df: DataFrame, delta: str, order: list[str], by: list[str], out: str = "value", bounds: list | None = None) -> DataFrame:
+    return _accumulated(df, delta, order, by, out, bounds, F.sum, lambda a, b: a + b)
 
 
-def xor_rows(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "xored") -> DataFrame:
-    return _previous(df, value, order, by).withColumn(out, F.col(value).bitwiseXOR(F.coalesce("_before", F.lit(0)))).drop("_before", "_start", "_range")
+def xor_rows(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "xored", bounds: list | None = None) -> DataFrame:
+    return _previous(df, value, order, by, bounds).withColumn(out, F.col(value).bitwiseXOR(F.coalesce("_before", F.lit(0)))).drop("_before", "_start", "_range")
 
 
-def unxor_rows(df: DataFrame, xored: str, order: list[str], by: list[str], out: str = "value") -> DataFrame:
-    return _accumulated(df, xored, order, by, out, F.bit_xor, lambda a, b: a.bitwiseXOR(b))
+def unxor_rows(df: DataFrame, xored: str, order: list[str], by: list[str], out: str = "value", bounds: list | None = None) -> DataFrame:
+    return _accumulated(df, xored, order, by, out, bounds, F.bit_xor, lambda a, b: a.bitwiseXOR(b))
 
 
-def _accumulated(df: DataFrame, column: str, order: list[str], by: list[str], out: str, total, add) -> DataFrame:
-    df = _carried(_ranged(df, order), order, by, {"_sum": total(column)}, lambda w: {"_carry": total("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+def _accumulated(df: DataFrame, column: str, order: list[str], by: list[str], out: str, bounds: list | None, total, add) -> DataFrame:
+    df = _carried(_ranged(df, order, bounds), by, {"_sum": total(column)}, lambda w: {"_carry": total("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = total(column).over(w)
     return df.withColumn("_own", own).withColumn(out, F.when(F.col("_own").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_own")).otherwise(add(F.col("_carry"), F.col("_own")))).drop("_own", "_carry", "_range")
 
 
-def runs(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+def runs(df: DataFrame, value: str, order: list[str], by: list[str], bounds: list | None = None) -> DataFrame:
     """Run-length coding: by, run (from 0), value and length of every run of equal values."""
-    marked = _previous(df, value, order, by).withColumn("_turn", (~F.col(value).eqNullSafe(F.col("_before")) & ~F.col("_start")).cast("int"))
+    marked = _previous(df, value, order, by, bounds).withColumn("_turn", (~F.col(value).eqNullSafe(F.col("_before")) & ~F.col("_start")).cast("int"))
     marked = marked.select(*dict.fromkeys([*by, value, *order, "_range", "_turn"]))
-    marked = _carried(marked, order, by, {"_turns": F.sum("_turn")}, lambda w: {"_carry": F.sum("_turns").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    marked = _carried(marked, by, {"_turns": F.sum("_turn")}, lambda w: {"_carry": F.sum("_turns").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("run", F.sum("_turn").over(w) + F.coalesce("_carry", F.lit(0)))
     return marked.groupBy(*by, "run", value).agg(F.count("*").alias("length"))

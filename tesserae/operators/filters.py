@@ -109,21 +109,41 @@ def floatpred_decode(x: np.ndarray, axis: int = -1, dist: int = 1) -> np.ndarray
     return byteshuffle_decode(x, axis, dist, True, True)
 
 
-def packints_encode(x: np.ndarray, bitspersample: int, runlen: int = 0) -> bytes:
-    """MSB-first bit stream of unsigned integers; runs of `runlen` end on a byte."""
+def packints_encode(x: np.ndarray, bitspersample: int, runlen: int = 0, bitorder: str | None = None) -> bytes:
+    """Bits of unsigned integers: an MSB-first stream (None) whose runs of `runlen` end on a byte, GenICam's LSB-first one
+    of 9 to 14 bits ("<"), or GigE's pairs of 10 or 12 bits in three bytes (">")."""
+    _packing(bitspersample, runlen, bitorder)
+    if bitorder == ">":
+        if x.size % 2:
+            raise ValueError("pairs take an even number of items")
+        low = bitspersample - 8
+        even, odd = x.ravel().astype(np.uint16).reshape(-1, 2).T
+        mask = (1 << low) - 1
+        return np.stack([even >> low, even & mask | (odd & mask) << 4, odd >> low], 1).astype(np.uint8).tobytes()
+    if bitorder == "<":
+        bits = np.unpackbits(x.ravel().astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :bitspersample]
+        return np.packbits(bits.ravel(), bitorder="little").tobytes()
     rows = x.reshape(-1, runlen or max(x.size, 1)) if x.size else x.reshape(1, 0)
     width = x.dtype.itemsize * 8
     bits = np.unpackbits(rows.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(*rows.shape, -1), axis=-1)[..., width - bitspersample :]
     return np.packbits(bits.reshape(len(rows), -1), axis=1).tobytes()
 
 
+def _packing(bitspersample: int, runlen: int, bitorder: str | None) -> None:
+    if bitorder not in (None, "<", ">"):
+        raise ValueError(f"no bitorder {bitorder!r}")
+    if bitorder and runlen:
+        raise ValueError("runlen goes without bitorder")
+    if bitorder == "<" and not 9 <= bitspersample <= 14 or bitorder == ">" and bitspersample not in (10, 12):
+        raise ValueError(f"bitspersample {bitspersample} with bitorder {bitorder!r}")
+
+
 def packints_decode(data: bytes, dtype: str = "u1", bitspersample: int = 8, runlen: int = 0, bitorder: str | None = None) -> np.ndarray:
     """Unpacks n-bit integers: an MSB-first stream (None), GenICam's LSB-first one ("<"), or GigE's pairs (">")."""
+    _packing(bitspersample, runlen, bitorder)
     dtype = np.dtype(dtype)
     raw = np.frombuffer(data, np.uint8)
     if bitorder == ">":
-        if bitspersample not in (10, 12):
-            raise ValueError("bitspersample must be 10 or 12")
         t = raw[: len(raw) // 3 * 3].reshape(-1, 3).astype(np.uint16)
         low = bitspersample - 8
         mask = (1 << low) - 1

@@ -670,12 +670,27 @@ def dds_decode(data: bytes) -> np.ndarray:
 TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "s", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
-def tiff_encode(x: np.ndarray, compression: str = "none", rowsperstrip: int = 0, predictor: bool = False) -> bytes:
+def _last_link(data: bytes) -> int:
+    """Where a little-endian TIFF keeps the place of the page after its last."""
+    if data[:4] != b"II*\0":
+        raise CodecError("only little-endian classic TIFF takes more pages")
+    link = 4
+    for _ in range(len(data)):
+        at = struct.unpack_from("<I", data, link)[0]
+        if not at:
+            return link
+        link = at + 2 + 12 * struct.unpack_from("<H", data, at)[0]
+    raise CodecError("pages in a circle")
+
+
+def tiff_encode(x: np.ndarray, compression: str = "none", rowsperstrip: int = 0, predictor: bool = False, appendto: bytes | None = None) -> bytes:
     """Pages along the first axis of 3-D gray or 4-D RGB arrays; little-endian, contiguous strips. The predictor takes
-    differences along rows, or of the bytes of floats by their place."""
+    differences along rows, or of the bytes of floats by their place. appendto: a file to which the pages are added."""
     pages = x if x.ndim == 4 or x.ndim == 3 and x.shape[-1] not in (3, 4) else x[None]
     code, pack = {"none": (1, bytes), "lzw": (5, lzw_encode), "deflate": (8, lambda b: zlib.compress(b)), "packbits": (32773, packbits_encode), "lzma": (34925, lzma_encode), "zstd": (50000, zstd_encode)}[compression]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    if appendto is not None:
+        out, link = bytearray(appendto + b"\0" * (len(appendto) % 2)), _last_link(appendto)
     for page in pages:
         h, w = page.shape[:2]
         s = 1 if page.ndim == 2 else page.shape[2]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import registry
@@ -12,10 +14,14 @@ from tesserae.schema import chunk
 
 
 def _table(name: str):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    read.__name__ = name
+    return read
 
 
-events, pages, lineitem, part, documents, embeddings = map(_table, ("events", "pages", "lineitem", "part", "documents", "embeddings"))
+events, pages, lineitem, part, documents, embeddings, benchmark = map(_table, ("events", "pages", "lineitem", "part", "documents", "embeddings", "benchmark"))
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -44,8 +50,10 @@ def delta_encode_events(spark, sf_dir):
 
 @query("SELECT event_id, user_id AS value FROM events")
 def delta_decode_events(spark, sf_dir):
-    coded = native.delta_rows(events(spark, sf_dir), "user_id", ["event_id"], ["event_type"])
-    return native.undelta_rows(coded, "delta", ["event_id"], ["event_type"]).select("event_id", "value")
+    rows = events(spark, sf_dir)
+    bounds = native.order_bounds(rows, "event_id")
+    coded = native.delta_rows(rows, "user_id", ["event_id"], ["event_type"], bounds=bounds)
+    return native.undelta_rows(coded, "delta", ["event_id"], ["event_type"], bounds=bounds).select("event_id", "value")
 
 
 @query("SELECT event_id, xor(user_id, coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0)) AS xored FROM events")
@@ -55,8 +63,10 @@ def xor_encode_events(spark, sf_dir):
 
 @query("SELECT event_id, user_id AS value FROM events")
 def xor_decode_events(spark, sf_dir):
-    coded = native.xor_rows(events(spark, sf_dir), "user_id", ["event_id"], ["event_type"])
-    return native.unxor_rows(coded, "xored", ["event_id"], ["event_type"]).select("event_id", "value")
+    rows = events(spark, sf_dir)
+    bounds = native.order_bounds(rows, "event_id")
+    coded = native.xor_rows(rows, "user_id", ["event_id"], ["event_type"], bounds=bounds)
+    return native.unxor_rows(coded, "xored", ["event_id"], ["event_type"], bounds=bounds).select("event_id", "value")
 
 
 @query("""
@@ -125,10 +135,11 @@ def duplicate_documents(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-def _round_trip(name: str, sql: str = "SELECT page_id, sha256(url) AS digest FROM pages"):
+def _round_trip(name: str, sql: str = "SELECT page_id, sha256(html) AS digest FROM pages"):
     def run(spark, sf_dir):
-        data = F.col("url").cast("binary")
-        return pages(spark, sf_dir).select("page_id", F.sha2(registry.decode(name, registry.encode(name, data)), 256).alias("digest"))
+        # one small file, much work for each row: dealt out first
+        rows = pages(spark, sf_dir).select("page_id", "html").repartition("page_id")
+        return rows.select("page_id", F.sha2(registry.decode(name, registry.encode(name, F.col("html").cast("binary"))), 256).alias("digest"))
 
     run.__name__ = f"roundtrip_{name}"
     return query(sql)(run)
@@ -149,45 +160,75 @@ def _chain_trip(name: str, steps: list, column: str, table, key: str, sql: str):
 
 
 _DOCS = "SELECT doc_id, sha256(text) AS digest FROM documents"
-_chain_trip("chain_delta_lzw", [("delta", {}), ("lzw", {})], "url", pages, "page_id", "SELECT page_id, sha256(url) AS digest FROM pages")
+_chain_trip("chain_delta_lzw", [("delta", {}), ("lzw", {})], "html", pages, "page_id", "SELECT page_id, sha256(html) AS digest FROM pages")
 _chain_trip("chain_bitshuffle_zstd", [("bitshuffle", {"itemsize": 1}), ("zstd", {})], "text", documents, "doc_id", _DOCS)
 _chain_trip("chain_delta_bitshuffle_zstd", [("delta", {}), ("bitshuffle", {"itemsize": 1}), ("zstd", {})], "text", documents, "doc_id", _DOCS)
-_chain_trip("chain_xor_lzma", [("xor", {}), ("lzma", {"level": 0})], "url", pages, "page_id", "SELECT page_id, sha256(url) AS digest FROM pages")
+_chain_trip("chain_xor_lzma", [("xor", {}), ("lzma", {"level": 0})], "html", pages, "page_id", "SELECT page_id, sha256(html) AS digest FROM pages")
 
 
-def _array_trip(name: str, shape: tuple[int, ...], **options):
-    """The 32 bytes of every text's digest as a small array, encoded and decoded."""
+def lines_of(text: Column, width: int = 64, *channels: int) -> Column:
+    """A text's bytes as an array of rows of `width` cells (of the channels given), filled up with zeros."""
+    data, cells = text.cast("binary"), width * math.prod(channels)
+    rows = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / cells)).cast("int")
+    filled = F.rpad(data, rows * cells, F.lit(b"\0"))
+    return F.when(data.isNotNull(), F.struct(F.lit("u1").alias("dtype"), F.array(rows, *[F.lit(n) for n in (width, *channels)]).alias("shape"), filled.alias("data")))
 
-    def run(spark, sf_dir):
-        data = chunk(F.unhex(F.sha2("text", 256)), "u1", shape)
-        made = registry.encode(name, data)
-        return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode(name, made, **options)["data"])).alias("digest"))
 
-    run.__name__ = f"roundtrip_{name}"
-    return query(_DOCS)(run)
+def text_digest(chunk: Column, text: Column) -> Column:
+    """SHA-256 of the bytes of a chunk that lines_of made of the text."""
+    return F.sha2(F.substr(chunk["data"], F.lit(1), F.octet_length(text.cast("binary"))), 256)
+
 
+def _array_trip(name: str, table, key: str, column: str, *channels: int, decoder: str = "", width: int = 64, **options):
+    """Whole texts as arrays, encoded and decoded."""
 
-for _name in ("delta", "xor", "byteshuffle", "bitorder", "numpy", "png", "spng", "apng", "bmp", "pcx", "tiff", "ljpeg"):
-    _array_trip(_name, (4, 8))
-_array_trip("gif", (4, 8), asrgb=False)
-for _name in ("qoi", "tga"):
-    _array_trip(_name, (4, 2, 4))
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir).select(key, column).repartition(key)
+        made = registry.encode(name, lines_of(F.col(column), width, *channels))
+        return rows.select(key, text_digest(registry.decode(decoder or name, made, **options), F.col(column)).alias("digest"))
+
+    run.__name__ = f"{decoder}_decode_benchmark" if decoder else f"roundtrip_{name}"
+    return query(f"SELECT {key}, sha256({column}) AS digest FROM {table.__name__}")(run)
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents")
-def jpegsof3_decode_documents(spark, sf_dir):
-    made = registry.encode("ljpeg", chunk(F.unhex(F.sha2("text", 256)), "u1", (4, 8)))
-    return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode("jpegsof3", made)["data"])).alias("digest"))
+for _name in ("delta", "xor", "byteshuffle", "bitorder", "numpy", "png", "spng", "apng", "bmp", "tiff"):
+    _array_trip(_name, pages, "page_id", "html")
+_array_trip("tga", pages, "page_id", "html", 4, width=16)
+# slower kernels: the shorter texts
+for _name in ("pcx", "ljpeg"):
+    _array_trip(_name, benchmark, "item_id", "text")
+_array_trip("ljpeg", benchmark, "item_id", "text", decoder="jpegsof3")
+_array_trip("gif", benchmark, "item_id", "text", asrgb=False)
+_array_trip("qoi", benchmark, "item_id", "text", 4, width=16)
 
 
 def _exr_trip(spark, sf_dir):
-    """The digest's 32 bytes as 2 x 4 unsigned samples."""
-    made = registry.encode("exr", chunk(F.unhex(F.sha2("text", 256)), "u4", (2, 4)))
-    return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode("exr", made)["data"])).alias("digest"))
+    """Whole texts as rows of 16 unsigned samples."""
+    cells = lines_of(F.col("html"), 16, 4)
+    wide = F.struct(F.lit("u4").alias("dtype"), F.slice(cells["shape"], 1, 2).alias("shape"), cells["data"].alias("data"))
+    rows = pages(spark, sf_dir).select("page_id", "html").repartition("page_id")
+    return rows.select("page_id", text_digest(registry.decode("exr", registry.encode("exr", wide)), F.col("html")).alias("digest"))
 
 
 _exr_trip.__name__ = "roundtrip_exr"
-query(_DOCS)(_exr_trip)
+query("SELECT page_id, sha256(html) AS digest FROM pages")(_exr_trip)
+
+
+def _packints_trip(name: str, bits: int, bitorder: str | None):
+    """Bytes of the texts' digests as integers of so many bits."""
+
+    def run(spark, sf_dir):
+        data = chunk(F.unhex(F.regexp_replace(F.sha2("text", 256), "(..)", "$100")), "u2", (32,))
+        back = registry.decode("packints", registry.encode("packints", data, bitspersample=bits, bitorder=bitorder), dtype="u2", bitspersample=bits, bitorder=bitorder)
+        return documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.lower(F.hex(back["data"])), "(..)00", "$1").alias("digest"))
+
+    run.__name__ = name
+    return query(_DOCS)(run)
+
+
+_packints_trip("roundtrip_packints", 11, None)
+_packints_trip("roundtrip_packints_lsb", 12, "<")
+_packints_trip("roundtrip_packints_pairs", 10, ">")
 
 
 @query("SELECT p_partkey, p_size AS value FROM part")
@@ -218,9 +259,91 @@ def compression_ratio_by_language(spark, sf_dir):
     return documents(spark, sf_dir).select("lang", F.octet_length("text").alias("raw"), packed.alias("packed")).groupBy("lang").agg(F.sum("raw").alias("raw_bytes"), F.sum("packed").alias("packed_bytes"))
 
 
-@query()
+#: The codecs by what they take and give, as SQL counts them on its own.
+_NAMES = {
+    "bytes->bytes": "aec bitshuffle blosc blosc2 brotli bz2 checksum deflate dicomrle gzip lz4 lz4f lz4h5 lzf lzfse lzham lzma lzo lzw none packbits pglz snappy szip zlib zlibng zopfli zstd",
+    "array->array": "bitorder byteshuffle cms delta floatpred quantize xor",
+    "array->bytes": (
+        "apng avif bcn bfloat16 bmp brunsli ccittfax3 ccittfax4 ccittrle dds eer exr float24 gif hcomp heif htj2k jetraw jpeg jpeg2k jpeg8 jpegls jpegsof3 jpegxl jpegxr jpegxs lerc ljpeg "
+        "meshopt mozjpeg numpy packints pcodec pcx pixarlog plio png qoi quantize rcomp rgbe sperr spng sz3 tga tiff ultrahdr wavpack webp wic zfp"
+    ).replace(" quantize", ""),
+}
+
+
+def _values(kind: str) -> str:
+    return f"SELECT unnest(string_split('{_NAMES[kind]}', ' ')) AS name, '{kind}' AS kind"
+
+
+@query(" UNION ALL ".join(map(_values, _NAMES)))
 def codec_catalog(spark, sf_dir):
-    return registry.catalog(spark)
+    return registry.catalog(spark).select("name", "kind")
+
+
+@query("SELECT name, CASE WHEN name IN (" + ", ".join(f"'{c.name}'" for c in registry.CODECS.values() if not c.available) + ") THEN name || ' n/a' ELSE name || ' tesserae 0.1.0' END AS version FROM (" + " UNION ALL ".join(map(_values, _NAMES)) + ")")
+def codec_versions(spark, sf_dir):
+    return registry.catalog(spark).select("name", "version")
+
+
+#: Codecs whose chains give back what they took, on arrays of bytes; every one, by itself.
+LOSSLESS = "apng bitorder bitshuffle bmp brotli byteshuffle bz2 checksum deflate delta gzip lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng tiff xor zlib zlibng zopfli zstd".split()
+
+
+@query("SELECT item_id, name, sha256(text) AS digest FROM benchmark, (SELECT unnest(string_split('" + " ".join(LOSSLESS) + "', ' ')) AS name)")
+def chains_of_every_codec(spark, sf_dir):
+    data = lines_of(F.col("text"))
+    made = [F.struct(F.lit(n).alias("name"), text_digest(Chain([(n, {})]).decode(Chain([(n, {})]).encode(data)), F.col("text")).alias("digest")) for n in LOSSLESS]
+    return benchmark(spark, sf_dir).repartition("item_id").select("item_id", F.explode(F.array(*made)).alias("x")).select("item_id", "x.name", "x.digest")
+
+
+#: First bytes of files (hex), each also tried with 160 bytes behind it.
+PROBES = (
+    "89504E470D0A1A0A 424D 44445320 762F3101 474946383761 474946383961 1F8B FF4FFF51 0000000C6A502020 0D0A870A 4949BC FF10FF50 0000000C4A585320 4C6572633220 436E745A496D616765 04224D18 627678 716F6966 233F "
+    "49492A00 4D4D002A 49492B00 4D4D002B 45502A00 5045002A 7776706B 7A6670 28B52FFD DD99 FF0A 0000000C4A584C20 789C 785E 7801 78DA 0000001C6674797061766966 0000001C6674797068656963 0000001C667479706D696631 0000001C6674797061626364 "
+    "FFD8FFDB FFD8FFEE FFD8FFC3 FFD8FFC4 FFD8FFE000104A464946 FFD8FFE1001045786966 FFD8FFE00010 FFD8FFF7 FFD8FFE80020535049464600 F0 F1000000000000 000000009CFF 524946460000000057454250 5249464600000000 "
+    "B168DE3A 0A050108 0A060108 80 0001 0002 934E554D5059 504B0304004E554D5059 504B0304 0000020000 01000000400000 00"
+).split()
+
+
+def _probe_sql() -> str:
+    """The 73 checks by their published descriptions, on h, the hex digits of the bytes, n in number."""
+    some = lambda hexes: "(" + " OR ".join(f"starts_with(h, '{x}')" for x in hexes) + ")"
+    jpeg = some(["FFD8FFDB", "FFD8FFEE", "FFD8FFC3", "FFD8FFC4"]) + " OR starts_with(h, 'FFD8FF') AND substr(h, 13, 8) IN ('4A464946', '45786966')"
+    rules = {name: some(hexes) for name, hexes in native.PREFIXES.items()}
+    rules |= {"bmp": "n > 54 AND starts_with(h, '424D')", "hcomp": "n >= 25 AND starts_with(h, 'DD99')"}
+    rules |= {name: f"CASE WHEN {some(hexes)} THEN true END" for name, hexes in native.MAYBE.items()}
+    rules |= {name: "NULL::BOOLEAN" for name in native.UNKNOWN}
+    rules |= {
+        "avif": "CASE WHEN substr(h, 9, 16) = '6674797061766966' THEN true WHEN substr(h, 9, 8) = '66747970' THEN NULL ELSE false END",
+        "heif": "CASE WHEN substr(h, 9, 16) IN ('6674797068656963', '6674797068656978', '667479706865766D', '667479706D696631') THEN true WHEN substr(h, 9, 8) = '66747970' THEN NULL ELSE false END",
+        "cms": "CASE WHEN n < 40 THEN false WHEN substr(h, 73, 8) = '61637370' THEN true END",
+        "jpeg8": jpeg,
+        "mozjpeg": jpeg,
+        "jpeg": jpeg,
+        "ultrahdr": "CASE WHEN starts_with(h, 'FFD8FF') THEN NULL ELSE false END",
+        "jpegls": "CASE WHEN starts_with(h, 'FFD8FFF7') OR starts_with(h, 'FFD8FFE8') AND substr(h, 13, 12) = '535049464600' THEN true END",
+        "lz4h5": "CASE WHEN n < 12 THEN false END",
+        "lzo": "CASE WHEN n > 5 AND substr(h, 1, 2) IN ('F0', 'F1') THEN true END",
+        "plio": "substr(h, 9, 4) = '9CFF'",
+        "webp": "starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250'",
+        "tga": "right(h, 36) = '54525545564953494F4E2D5846494C452E00' OR n >= 18 AND substr(h, 3, 2) IN ('00', '01') AND substr(h, 5, 2) IN ('01', '02', '03', '09', '0A', '0B')",
+        "pcx": "starts_with(h, 'B168DE3A') OR n >= 128 AND starts_with(h, '0A') AND substr(h, 3, 2) IN ('00', '02', '03', '04', '05') AND substr(h, 5, 2) IN ('00', '01') AND substr(h, 7, 2) IN ('01', '02', '04', '08')",
+        "lzw": "starts_with(h, '80') OR starts_with(h, '00') AND substr(h, 4, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')",
+        "numpy": "starts_with(h, '934E554D5059') OR starts_with(h, '504B') AND contains(substr(h, 1, 128), '4E554D5059')",
+        "dicomrle": "CASE WHEN n < 64 THEN false ELSE substr(h, 1, 8) IN (" + ", ".join(f"'{i:02X}000000'" for i in range(1, 16)) + ") AND substr(h, 9, 8) = '40000000' END",
+        "snappy": "CASE WHEN n = 0 THEN false END",
+        "wic": "false",
+    }
+    probes = "SELECT unnest(string_split('" + " ".join(PROBES) + "', ' ')) AS p"
+    each = ", ".join(f"{{'name': '{name}', 'result': {rule}}}" for name, rule in sorted(rules.items()))
+    return f"SELECT probe, x.name AS name, x.result AS result FROM (SELECT h AS probe, unnest([{each}]) AS x FROM (SELECT h, len(h) // 2 AS n FROM (SELECT p AS h FROM ({probes}) UNION ALL SELECT p || repeat('00', 160) FROM ({probes}))))"
+
+
+@query(_probe_sql())
+def checks_of_probes(spark, sf_dir):
+    names = sorted({*native.PREFIXES, *native.MAYBE, *native.UNKNOWN, *"avif heif cms jpeg8 mozjpeg jpeg ultrahdr jpegls lz4h5 lzo plio webp tga pcx lzw numpy dicomrle snappy wic".split()})
+    rows = spark.createDataFrame([(x + tail,) for x in PROBES for tail in ("", "00" * 160)], "probe string")
+    checked = [F.struct(F.lit(n).alias("name"), registry.check(n, F.unhex("probe")).alias("result")) for n in names]
+    return rows.select("probe", F.explode(F.array(*checked)).alias("x")).select("probe", "x.name", "x.result")
 
 
 @query()
@@ -228,6 +351,10 @@ def lookup3_pages(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", registry.checksum("lookup3", F.col("url").cast("binary")).alias("hash"))
 
 
-@query()
+@query(f"""
+SELECT page_id, (CASE WHEN b = 0 THEN 0 ELSE (b - 1) % 65535 + 1 END * 65536 + CASE WHEN a = 0 THEN 0 ELSE (a - 1) % 65535 + 1 END)::BIGINT AS hash
+FROM (SELECT page_id, list_sum(w) AS a, list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * (len(w) - i + 1))) AS b
+  FROM (SELECT page_id, list_transform(range(1, len(x) + 1, 2), lambda i: x[i]::BIGINT * 256 + coalesce(x[i + 1], 0)) AS w
+    FROM (SELECT page_id, {{_BYTES}} AS x FROM (SELECT page_id, encode(url) AS b FROM pages))))""".replace("{_BYTES}", _BYTES))
 def fletcher32_pages(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", native.fletcher32(F.col("url")).alias("hash"))

@@ -232,3 +232,34 @@ def test_apng_of_one_image():
     for shape in ((5, 7), (5, 7, 3), (5, 7, 4)):
         x = RNG.integers(0, 256, shape, dtype=np.uint8)
         assert (I.apng_decode(I.apng_encode(x)).reshape(shape) == x).all()
+
+
+def test_packints_in_other_bit_orders():
+    # Two published packings of pairs.
+    assert A.packints_encode(np.array([0xA5A, 0x5A5], "u2"), 12, bitorder=">") == b"\xa5\x5a\x5a"
+    assert A.packints_encode(np.array([0x2AA, 0x155], "u2"), 10, bitorder=">") == b"\xaa\x12\x55"
+    for order, bits in (("<", 9), ("<", 10), ("<", 12), ("<", 14), (">", 10), (">", 12)):
+        for n in (2, 8, 100):
+            x = (np.arange(n) * 37 & (1 << bits) - 1).astype("u2")
+            made = A.packints_encode(x, bits, bitorder=order)
+            assert len(made) == ((n * bits + 7) // 8 if order == "<" else n // 2 * 3)
+            assert (A.packints_decode(made, "u2", bits, bitorder=order)[:n] == x).all()
+        with pytest.raises(ValueError):
+            A.packints_encode(x, bits, runlen=8, bitorder=order)
+    for bad in ({"bitorder": "x", "bitspersample": 12}, {"bitorder": ">", "bitspersample": 14}, {"bitorder": "<", "bitspersample": 8}):
+        with pytest.raises(ValueError):
+            A.packints_encode(np.zeros(2, "u2"), **bad)
+    with pytest.raises(ValueError):
+        A.packints_encode(np.zeros(3, "u2"), 12, bitorder=">")
+
+
+def test_pages_are_added_to_a_tiff():
+    a, b = np.arange(15, dtype="u1").reshape(3, 5), np.arange(20, dtype="u2").reshape(4, 5)
+    one = I.tiff_encode(a)
+    two = I.tiff_encode(b, compression="lzw", appendto=one)
+    three = I.tiff_encode(np.stack([a + 1, a + 2]), appendto=two)
+    assert len(I.tiff_pages(three)) == 4
+    for i, want in enumerate((a, b, a + 1, a + 2)):
+        assert (I.tiff_decode(three, i) == want).all()
+    with pytest.raises(Exception):
+        I.tiff_encode(a, appendto=b"MM\0*" + bytes(8))

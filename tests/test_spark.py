@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,8 @@ from tesserae import registry
 from tesserae.functions import native
 from tesserae.operators import images
 from tesserae.plans.pipeline import Chain
-from tesserae.schema import chunk
+from tesserae.schema import CHUNK, chunk, from_array, to_array
+from tesserae.sources import files
 from tesserae.sources.files import imagefileext, read_images
 
 
@@ -170,3 +173,59 @@ def test_new_codecs_as_expressions(spark):
     assert all(r.d is None for r in bad)
     known = {r.name: (r.can_encode, r.can_decode) for r in registry.catalog(spark).collect()}
     assert known["ccittfax4"] == (False, True) and known["jpeg8"] == (True, True) and known["avif"] == (False, False)
+
+
+def test_images_written_are_read_again(spark, tmp_path):
+    x = [np.arange(12, dtype="u1").reshape(3, 4) + i for i in range(5)]
+    rows = [(f"a/{i}.png", from_array(a)) for i, a in enumerate(x)] + [("none.png", None)]
+    df = spark.createDataFrame(rows, f"path string, chunk {CHUNK}")
+    made = files.write_images(df, str(tmp_path / "out"), "png").collect()
+    assert sorted(r["path"] for r in made) == [f"a/{i}.png" for i in range(5)] and all(r["length"] > 50 for r in made)
+    back = files.read_images(spark, f"file://{tmp_path}/out/a").collect()
+    assert sorted(r["path"][-5:] for r in back) == [f"{i}.png" for i in range(5)]
+    for r in back:
+        assert (to_array(r["chunk"]) == x[int(r["path"][-5])]).all()
+
+
+def test_chunk_store_keeps_its_chain(spark, tmp_path):
+    x = np.arange(64, dtype="u2").reshape(8, 8)
+    blocks = [(i, j, from_array(x[4 * i : 4 * i + 4, 4 * j : 4 * j + 4])) for i in range(2) for j in range(2)]
+    df = spark.createDataFrame(blocks, f"row int, col int, chunk {CHUNK}")
+    path = str(tmp_path / "store")
+    files.write_chunks(df, path, ["row"], chain=Chain([("delta", {}), ("zlib", {})]))
+    back = np.zeros_like(x)
+    for r in files.read_chunks(spark, path).collect():
+        back[4 * r["row"] : 4 * r["row"] + 4, 4 * r["col"] : 4 * r["col"] + 4] = to_array(r["chunk"])
+    assert (back == x).all()
+    part = files.read_chunks(spark, path, "row = 1 and col = 0").collect()
+    assert len(part) == 1 and (to_array(part[0]["chunk"]) == x[4:, :4]).all()
+
+
+def test_row_filters_over_ranges_of_the_order(spark):
+    """Keys with many and few rows, nulls, and order columns without ranges."""
+    own = np.random.default_rng(4)
+    rows = [(None if i % 50 == 3 else int(own.integers(0, 3)), int(k), f"k{k:05d}", int(own.integers(-9, 9))) for i, k in enumerate(own.permutation(3000))]
+    df = spark.createDataFrame(rows, "g int, k int, name string, v long")
+    by: dict = {}
+    for g, k, _, v in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(g, []).append((k, v))
+    for order in ("k", "name"):
+        coded = native.delta_rows(df, "v", [order], ["g"])
+        got = {r["k"]: r["delta"] for r in coded.collect()}
+        want = {k: v - (rows_[i - 1][1] if i else 0) for rows_ in by.values() for i, (k, v) in enumerate(rows_)}
+        assert got == want
+        assert all(r["v"] == r["value"] for r in native.undelta_rows(coded, "delta", [order], ["g"]).collect())
+        assert all(r["v"] == r["value"] for r in native.unxor_rows(native.xor_rows(df, "v", [order], ["g"]), "xored", [order], ["g"]).collect())
+        runs = {(r["g"], r["run"]): (r["v"], r["length"]) for r in native.runs(df, "v", [order], ["g"]).collect()}
+        for g, rows_ in by.items():
+            want_runs = [(v, len(list(x))) for v, x in itertools.groupby(v for _, v in rows_)]
+            assert [runs[g, i] for i in range(len(want_runs))] == want_runs
+
+
+def test_running_totals_and_words_of_long_values(spark):
+    x = [int(v) for v in np.random.default_rng(1).integers(0, 256, 5000)]
+    df = spark.createDataFrame([(x, [], "é" * 3001), ([5], [1, 2], ""), (None, [3], None)], "x array<int>, y array<int>, t string")
+    got = df.select(native.delta_decode(F.col("x"), 8).alias("a"), native.xor_decode(F.col("x")).alias("b"), native.delta_decode(F.col("y")).alias("c"), native.fletcher32(F.col("t")).alias("d"), native.bytes_of(F.col("t")).alias("e")).collect()
+    assert got[0]["a"] == [v % 256 for v in itertools.accumulate(x)] and got[0]["b"] == list(itertools.accumulate(x, lambda a, b: a ^ b))
+    assert [r["c"] for r in got] == [[], [1.0, 3.0], [3.0]] and got[2]["a"] is None and got[2]["d"] is None
+    assert got[0]["e"] == list(("é" * 3001).encode()) and got[1]["e"] == [] and got[1]["d"] == 0
