@@ -7,7 +7,9 @@ crosses to Python once, whatever its length. Its configuration goes to and from
 from __future__ import annotations
 
 import json
+import math
 
+import numpy as np
 from pyspark.sql import Column
 
 from tesserae.registry import BYTES, CODECS, FILTER, SERIALIZER, _expression, _wanted
@@ -71,7 +73,8 @@ class Chain:
                 if codec.kind == FILTER and isinstance(x, bytes):
                     x = to_array({**head, "data": x})
                 x = f(x, **_for_decode(codec.name, options))
-            return to_array({**head, "data": x}) if isinstance(x, bytes) else x
+            # a codec of whole blocks may fill up the last one
+            return to_array({**head, "data": x[: np.dtype(head["dtype"]).itemsize * math.prod(head["shape"])]}) if isinstance(x, bytes) else x
 
         return _expression(run, False, True, on_error)(column)
 
@@ -79,7 +82,8 @@ class Chain:
 def _for_decode(name: str, options: dict) -> dict:
     """Options that a decoder takes too."""
     keep = {"axis", "dist", "delta", "reorder", "itemsize", "blocksize", "header", "raw", "kind", "value", "prepend", "byteorder", "nblock", "shape", "dtype", "bitspersample", "runlen"}
-    return {k: v for k, v in options.items() if k in keep and not (name == "lz4h5" and k == "blocksize")}
+    own = {"aec": {"flags", "rsi"}, "szip": {"options_mask", "pixels_per_block", "bits_per_pixel", "pixels_per_scanline"}, "cms": set(options)}
+    return {k: v for k, v in options.items() if k in keep | own.get(name, set()) and not (name in ("lz4h5", "blosc") and k == "blocksize")}
 
 
 def _framed(x) -> tuple[bytes, bytes]:

@@ -145,7 +145,7 @@ def _round_trip(name: str, sql: str = "SELECT page_id, sha256(html) AS digest FR
     return query(sql)(run)
 
 
-for _name in ("zlib", "zlibng", "zopfli", "deflate", "gzip", "bz2", "lzma", "zstd", "brotli", "lz4", "lz4f", "lz4h5", "snappy", "packbits", "lzw", "lzf", "pglz", "checksum", "bitshuffle", "none"):
+for _name in ("zlib", "zlibng", "zopfli", "deflate", "gzip", "bz2", "lzma", "zstd", "brotli", "lz4", "lz4f", "lz4h5", "snappy", "packbits", "lzw", "lzf", "pglz", "checksum", "bitshuffle", "blosc", "none"):
     _round_trip(_name)
 
 
@@ -231,6 +231,21 @@ _packints_trip("roundtrip_packints_lsb", 12, "<")
 _packints_trip("roundtrip_packints_pairs", 10, ">")
 
 
+def _light(v: str) -> str:
+    """What the curve of sRGB, in steps of 2 ** -16 as profiles hold it, makes of a byte: 16 bits."""
+    g, a, b, c, d = (round(x * 65536) / 65536 for x in (2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045))
+    return f"round_even(65535 * CASE WHEN {v} / 255.0 >= {d} THEN pow({a}::DOUBLE * {v} / 255 + {b}, {g}) ELSE {c}::DOUBLE * {v} / 255 END, 0)::INT"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(x[1:30], lambda v: {_light('v')}), ',') AS light FROM (SELECT doc_id, {_BYTES} AS x FROM (SELECT doc_id, unhex(sha256(text)) AS b FROM documents))")
+def cms_light_of_digests(spark, sf_dir):
+    """The digests' first 30 bytes as ten pixels, from sRGB to linear light."""
+    data = chunk(F.substr(F.unhex(F.sha2("text", 256)), F.lit(1), F.lit(30)), "u1", (1, 10, 3))
+    made = registry.encode("cms", data, profile="srgb", outprofile="linearrgb", outdtype="u2")["data"]
+    words = F.transform(F.regexp_extract_all(F.hex(made), F.lit("...."), F.lit(0)), lambda x: F.conv(F.concat(F.substr(x, F.lit(3), F.lit(2)), F.substr(x, F.lit(1), F.lit(2))), 16, 10))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(words, ",").alias("light"))
+
+
 @query("SELECT p_partkey, p_size AS value FROM part")
 def roundtrip_plio(spark, sf_dir):
     """Sizes as one-byte rows; decoded, they are 32-bit integers."""
@@ -285,7 +300,7 @@ def codec_versions(spark, sf_dir):
 
 
 #: Codecs whose chains give back what they took, on arrays of bytes; every one, by itself.
-LOSSLESS = "apng bitorder bitshuffle bmp brotli byteshuffle bz2 checksum deflate delta gzip lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng tiff xor zlib zlibng zopfli zstd".split()
+LOSSLESS = "aec apng bitorder bitshuffle blosc bmp brotli byteshuffle bz2 checksum deflate delta gzip lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng szip tiff xor zlib zlibng zopfli zstd".split()
 
 
 @query("SELECT item_id, name, sha256(text) AS digest FROM benchmark, (SELECT unnest(string_split('" + " ".join(LOSSLESS) + "', ' ')) AS name)")

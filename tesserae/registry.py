@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import native
+from tesserae.operators import aec as Z
 from tesserae.operators import bilevel as B
+from tesserae.operators import blosc, cms
 from tesserae.operators import compressors as C
 from tesserae.operators import exr as E
 from tesserae.operators import filters as A
@@ -46,6 +48,9 @@ def _codecs() -> dict[str, Codec]:
         Codec("zlibng", BYTES, C.zlib_encode, C.zlib_decode),
         Codec("zopfli", BYTES, C.zopfli_encode, C.zlib_decode),
         Codec("lzo", BYTES, None, C.lzo_decode),
+        *[Codec(n, BYTES, getattr(Z, f"{n}_encode"), getattr(Z, f"{n}_decode")) for n in ("aec", "szip")],
+        Codec("blosc", BYTES, blosc.blosc_encode, blosc.blosc_decode),
+        Codec("cms", FILTER, cms.cms_transform, cms.cms_decode),
         Codec("none", BYTES, lambda d: d, lambda d: d),
         Codec("bitshuffle", BYTES, A.bitshuffle_encode, A.bitshuffle_decode),
         Codec("dicomrle", BYTES, None, C.dicomrle_decode),
@@ -78,12 +83,11 @@ def _codecs() -> dict[str, Codec]:
     ]
     # listed as unavailable: their libraries are not here, or no kernel is written yet
     absent = {
-        BYTES: "aec blosc blosc2 lzfse lzham szip",
+        BYTES: "blosc2 lzfse lzham",
         SERIALIZER: (
             "avif brunsli hcomp heif htj2k jetraw jpeg2k jpegls jpegxl jpegxr jpegxs lerc meshopt "
             "pcodec sperr sz3 ultrahdr wavpack webp wic zfp"
         ),
-        FILTER: "cms",
     }
     rows += [Codec(n, kind, None, None) for kind, names in absent.items() for n in names.split()]
     return {c.name: c for c in sorted(rows, key=lambda c: c.name)}
