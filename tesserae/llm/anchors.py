@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import U, arrow_map, chunks, gram_hashes, sliding_argmin, written
+from tesserae.llm.common import U, arrow_map, chunks, drop_written, gram_hashes, process_cache, sliding_argmin, written
 
 #: At LOAD bits for each anchor, one window in 30 to 60 that does not repeat passes.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
@@ -76,7 +76,9 @@ def repeated_anchors(docs: DataFrame, windows: Windows) -> bytes:
 
     found = arrow_map(docs.select("text"), count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     found = written(found.select("h"), "anchors")
-    return _sketch(found, min(MOST_BITS, max(LEAST_BITS, 1 << (found.count() * LOAD).bit_length())))
+    made = _sketch(found, min(MOST_BITS, max(LEAST_BITS, 1 << (found.count() * LOAD).bit_length())))
+    drop_written(found)
+    return made
 
 
 def _sketch(found: DataFrame, size: int) -> bytes:
@@ -115,5 +117,11 @@ def in_sketch(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (sketch[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
 
 
-def opened(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.uint8)
+def opened(shared) -> np.ndarray:
+    """The bit map of a broadcast, opened once in each worker."""
+    held = process_cache("sketch", dict)
+    key = zlib.crc32(shared.value), zlib.adler32(shared.value), len(shared.value)
+    if key not in held:
+        held.clear()
+        held[key] = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+    return held[key]

@@ -106,7 +106,7 @@ def fragments(keyed: DataFrame, windows: Windows, sketch) -> DataFrame:
     repeat."""
 
     def emit(batches):
-        bits = opened(sketch.value)
+        bits = opened(sketch)
         for batch in batches:
             did, tid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i, buf, offsets in chunks(batch.column(2)):

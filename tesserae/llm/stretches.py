@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import arrow_map, written
 
 #: Classes of one key that are solved together, and of all keys of a batch.
-MOST, BATCH = 512, 20_000
+MOST, BATCH = 128, 20_000
 
 
 def class_id(content: str = "content") -> dict[str, Column]:

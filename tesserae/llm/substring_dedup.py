@@ -41,7 +41,7 @@ def stretches(keyed: DataFrame, windows: Windows, sketch) -> DataFrame:
     phrase) of every stretch whose anchor may repeat."""
 
     def emit(batches):
-        bits = opened(sketch.value)
+        bits = opened(sketch)
         for batch in batches:
             did, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, buf, offsets in chunks(batch.column(2)):
