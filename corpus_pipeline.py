@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontamination, language_id, line_dedup, near_dedup, packing
-from tesserae.llm.common import keyed_documents, written
+from tesserae.llm.common import drop_written, keyed_documents, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A pair with a similarity of 0.8 meets in none of them with probability 5.4e-6.
@@ -48,14 +48,15 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages learn a model, build signatures and tokenize: not SQL. Tested against a brute-force version.
+#: The stages learn a model, build signatures and tokenize: not SQL. Tested against a plain version (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, name)
+            drop_written(before)
     return docs
