@@ -234,6 +234,18 @@ def runs(df: DataFrame, value: str, order: list[str], by: list[str], bounds: lis
     return marked.groupBy(*by, "run", value).agg(F.count("*").alias("length"))
 
 
+def adler32_of_chunks(df: DataFrame, data: str, order: list[str], by: list[str], out: str = "adler") -> DataFrame:
+    """by, and Adler's checksum of each key's chunks as if laid end to end in order: those of the chunks, weighted by the
+    bytes behind each. No chunk is held together with another."""
+    base = F.lit(65521)
+    own = df.withColumns({"_own": adler32(F.col(data), 0), "_n": F.octet_length(F.col(data).cast("binary")).cast("long")})
+    own = own.where(F.col("_n").isNotNull()).select(*by, *order, F.pmod(F.col("_own"), F.lit(65536)).alias("_a"), F.shiftright("_own", 16).alias("_b"), "_n")
+    after = F.sum("_n").over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_w", (F.col("_b") + F.col("_a") * (F.coalesce(after, F.lit(0)) % base)) % base)
+    total = own.groupBy(*by).agg(((F.sum("_n") + F.sum("_w")) % base * 65536 + (F.sum("_a") + 1) % base).cast("long").alias(out))
+    return total
+
+
 # ---- signatures: true, false, or NULL where the bytes do not tell ----
 
 #: Prefixes (hex) that settle a format. A second list holds what is false without them; the others are NULL.

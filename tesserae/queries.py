@@ -21,7 +21,7 @@ def _table(name: str):
     return read
 
 
-events, pages, lineitem, part, documents, embeddings, benchmark = map(_table, ("events", "pages", "lineitem", "part", "documents", "embeddings", "benchmark"))
+events, pages, lineitem, part, documents, embeddings, benchmark, conversations = map(_table, ("events", "pages", "lineitem", "part", "documents", "embeddings", "benchmark", "conversations"))
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -91,6 +91,13 @@ def adler32_pages(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", native.adler32(F.col("url")).alias("adler"))
 
 
+@query(f"""
+SELECT conv_id, ((n + coalesce(list_sum(list_transform(range(1, n + 1), lambda i: x[i] * (n - i + 1))), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(x), 0)) % 65521)::BIGINT AS adler
+FROM (SELECT conv_id, {_BYTES} AS x, octet_length(b) AS n FROM (SELECT conv_id, encode(string_agg(text, '' ORDER BY turn)) AS b FROM conversations WHERE text IS NOT NULL GROUP BY conv_id))""")
+def adler32_of_conversations(spark, sf_dir):
+    return native.adler32_of_chunks(conversations(spark, sf_dir), "text", ["turn"], ["conv_id"])
+
+
 @query(f"SELECT page_id, list_reduce(x, lambda h, c: (h * 33 + c) % 4294967296, 5381::BIGINT) AS hash FROM (SELECT page_id, list_transform({_BYTES}, lambda v: v::BIGINT) AS x FROM (SELECT page_id, encode(url) AS b FROM pages))")
 def djb2_pages(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", native.djb2(F.col("url")).alias("hash"))

@@ -36,6 +36,8 @@ class Codec:
     encode: Callable | None
     decode: Callable | None
     extensions: tuple[str, ...] = ()
+    #: Of a user's codec: from a column of bytes to true, false or NULL.
+    check: Callable[[Column], Column] | None = None
 
     @property
     def available(self) -> bool:
@@ -96,9 +98,13 @@ def _codecs() -> dict[str, Codec]:
 CODECS = _codecs()
 
 
-def register(name: str, encode: Callable | None, decode: Callable | None, kind: str = BYTES, extensions: tuple[str, ...] = ()) -> None:
-    """Adds a user's codec."""
-    CODECS[name] = Codec(name, kind, encode, decode, extensions)
+def register(name: str, encode: Callable | None, decode: Callable | None, kind: str = BYTES, extensions: tuple[str, ...] = (), check: Callable[[Column], Column] | None = None, spark: SparkSession | None = None) -> None:
+    """Adds a user's codec; with a session, also its SQL functions."""
+    if kind not in (BYTES, FILTER, SERIALIZER):
+        raise ValueError(f"no kind {kind!r}")
+    CODECS[name] = Codec(name, kind, encode, decode, extensions, check)
+    if spark and kind == BYTES:
+        _register_sql(spark, CODECS[name])
 
 
 def version(name: str) -> str:
@@ -154,7 +160,16 @@ def decode(name: str, column: Column, on_error: str = "raise", **options) -> Col
 
 
 def check(name: str, column: Column) -> Column:
-    return native.check(name, column)
+    """Whether bytes have the signature of a codec; NULL where they do not tell, or the codec has none."""
+    own = CODECS.get(name)
+    if own and own.check:
+        return own.check(column)
+    try:
+        return native.check(name, column)
+    except KeyError:
+        if own is None:
+            raise
+        return F.lit(None).cast("boolean")
 
 
 def sniff(column: Column, names: list[str] | None = None) -> Column:
@@ -167,13 +182,17 @@ def register_sql(spark: SparkSession) -> None:
     """SQL functions <codec>_encode and <codec>_decode for the codecs of bytes, and seeded checksums."""
     for c in CODECS.values():
         if c.kind == BYTES:
-            for what in ("encode", "decode"):
-                if f := getattr(c, what):
-                    spark.udf.register(f"{c.name}_{what}", _expression(lambda v, f=f: f(v), False, False, "raise"))
+            _register_sql(spark, c)
     for name, f in C.CHECKSUMS.items():
         spark.udf.register(f"{name}_of", F.arrow_udf(_checksum(f), "long"))
 
 
+def _register_sql(spark: SparkSession, c: Codec) -> None:
+    for what in ("encode", "decode"):
+        if f := getattr(c, what):
+            spark.udf.register(f"{c.name}_{what}", _expression(lambda v, f=f: f(v), False, False, "raise"))
+
+
 def _checksum(f: Callable) -> Callable:
     def batch(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else f(v) for v in values.to_pylist()], pa.int64())

@@ -229,3 +229,26 @@ def test_running_totals_and_words_of_long_values(spark):
     assert got[0]["a"] == [v % 256 for v in itertools.accumulate(x)] and got[0]["b"] == list(itertools.accumulate(x, lambda a, b: a ^ b))
     assert [r["c"] for r in got] == [[], [1.0, 3.0], [3.0]] and got[2]["a"] is None and got[2]["d"] is None
     assert got[0]["e"] == list(("é" * 3001).encode()) and got[1]["e"] == [] and got[1]["d"] == 0
+
+
+def test_users_codecs_have_checks_and_sql(spark):
+    registry.register("turned", lambda d: d[::-1], lambda d: d[::-1], check=lambda c: F.substr(c, F.lit(1), F.lit(1)) == F.lit(b"t"), spark=spark)
+    try:
+        df = spark.createDataFrame([(b"ab",), (b"ta",), (None,)], "b binary")
+        got = df.select(registry.encode("turned", F.col("b")).alias("e"), registry.check("turned", F.col("b")).alias("c"), F.expr("turned_decode(turned_encode(b))").alias("d")).collect()
+        assert [bytes(r["e"]) if r["e"] else None for r in got] == [b"ba", b"at", None] and [r["c"] for r in got] == [False, True, None]
+        assert [bytes(r["d"]) if r["d"] else None for r in got] == [b"ab", b"ta", None]
+        with pytest.raises(ValueError):
+            registry.register("bad", None, None, kind="other")
+    finally:
+        registry.CODECS.pop("turned")
+
+
+def test_checksums_of_ordered_chunks(spark):
+    import zlib
+
+    own = np.random.default_rng(6)
+    chunks = {k: [own.integers(0, 256, int(own.integers(0, 400)), "u1").tobytes() for _ in range(k + 1)] for k in range(6)}
+    rows = [(k, i, c) for k, cs in chunks.items() for i, c in enumerate(cs)] + [(2, 9, None)]
+    got = {r["k"]: r["adler"] for r in native.adler32_of_chunks(spark.createDataFrame(rows, "k int, i int, c binary"), "c", ["i"], ["k"]).collect()}
+    assert got == {k: zlib.adler32(b"".join(cs)) for k, cs in chunks.items()}
