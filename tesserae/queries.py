@@ -202,10 +202,11 @@ for _name in ("delta", "xor", "byteshuffle", "bitorder", "numpy", "png", "spng",
     _array_trip(_name, pages, "page_id", "html")
 _array_trip("tga", pages, "page_id", "html", 4, width=16)
 # slower kernels: the shorter texts
-for _name in ("pcx", "ljpeg"):
+for _name in ("pcx", "ljpeg", "jpegls"):
     _array_trip(_name, benchmark, "item_id", "text")
 _array_trip("ljpeg", benchmark, "item_id", "text", decoder="jpegsof3")
 _array_trip("gif", benchmark, "item_id", "text", asrgb=False)
+_array_trip("webp", benchmark, "item_id", "text", 4, width=16, hasalpha=True)
 _array_trip("qoi", benchmark, "item_id", "text", 4, width=16)
 
 
@@ -307,7 +308,7 @@ def codec_versions(spark, sf_dir):
 
 
 #: Codecs whose chains give back what they took, on arrays of bytes; every one, by itself.
-LOSSLESS = "aec apng bitorder bitshuffle blosc bmp brotli byteshuffle bz2 checksum deflate delta gzip lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng szip tiff xor zlib zlibng zopfli zstd".split()
+LOSSLESS = "aec apng bitorder bitshuffle blosc bmp brotli byteshuffle bz2 checksum deflate delta gzip jpegls lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng szip tiff xor zlib zlibng zopfli zstd".split()
 
 
 @query("SELECT item_id, name, sha256(text) AS digest FROM benchmark, (SELECT unnest(string_split('" + " ".join(LOSSLESS) + "', ' ')) AS name)")
