@@ -307,8 +307,14 @@ def check(name: str, data: Column) -> Column:
     elif name == "numpy":
         out = starts(["934E554D5059"]) | (starts(["504B"]) & (F.instr(head(0, 64), "4E554D5059") > 0))
     elif name == "dicomrle":
-        word = lambda i: F.conv(F.reverse(F.array_join(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.reverse(F.substr(head(4 * i, 4), k * 2 + 1, F.lit(2)))), "")), 16, 10).cast("long")
-        out = F.when(size < 64, False).otherwise(word(0).between(1, 15) & (word(1) == 64))
+        turned = lambda x: F.concat(*[F.substr(x, F.lit(k), F.lit(2)) for k in (7, 5, 3, 1)])
+        words = F.transform(F.regexp_extract_all(head(0, 64), F.lit(".{8}"), F.lit(0)), lambda x: F.conv(turned(x), 16, 10).cast("long"))
+
+        def sound(w: Column) -> Column:  # the number of segments, the first at 64, all of them within the data
+            places = F.slice(w, 2, F.greatest(F.least(F.get(w, F.lit(0)), F.lit(15)).cast("int"), F.lit(0)))
+            return F.get(w, F.lit(0)).between(1, 15) & (F.get(w, F.lit(1)) == 64) & F.forall(places, lambda v: (v > 0) & (v < size))
+
+        out = F.when(size < 64, False).otherwise(_once(words, sound))
     elif name == "snappy":
         out = F.when(size == 0, False)
     elif name == "wic":

@@ -114,10 +114,31 @@ def _png_parts(data: bytes):
         at += 12 + n
 
 
-def _png_image(raw: bytes, width: int, height: int, depth: int, color: int, palette: bytes) -> np.ndarray:
+#: The seven passes of an interlaced image: first row and column, and steps down and across.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _png_image(raw: bytes, width: int, height: int, depth: int, color: int, palette: bytes, interlaced: bool = False) -> np.ndarray:
+    data = zlib.decompress(raw)
+    if not interlaced:
+        return _png_pass(data, width, height, depth, color, palette)
+    samples, out, at = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color], None, 0
+    for y, x, down, across in PASSES:
+        w, h = len(range(x, width, across)), len(range(y, height, down))
+        if not w or not h:
+            continue
+        part = _png_pass(data[at:], w, h, depth, color, palette)
+        at += h * ((w * samples * depth + 7) // 8 + 1)
+        if out is None:
+            out = np.zeros((height, width, *part.shape[2:]), part.dtype)
+        out[y::down, x::across] = part
+    return out
+
+
+def _png_pass(data: bytes, width: int, height: int, depth: int, color: int, palette: bytes) -> np.ndarray:
     samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
     row = (width * samples * depth + 7) // 8
-    rows = _unfilter(zlib.decompress(raw), height, row, max(1, samples * depth // 8))
+    rows = _unfilter(data, height, row, max(1, samples * depth // 8))
     if depth == 16:
         x = rows.view(">u2").astype(np.uint16)
     elif depth == 8:
@@ -150,10 +171,8 @@ def apng_decode(data: bytes, index: int | None = None) -> np.ndarray:
             now.append(body[4:])
     if head is None or not now:
         raise CodecError("image missing")
-    if head[6]:
-        raise NotImplementedError("interlaced")
     frames.append(b"".join(now))
-    images = [_png_image(f, *head[:4], palette) for f in (frames if index is None else frames[index : index + 1])]
+    images = [_png_image(f, *head[:4], palette, bool(head[6])) for f in (frames if index is None else frames[index : index + 1])]
     return images[0] if len(frames) == 1 or index is not None else np.stack(images)
 
 

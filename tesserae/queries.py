@@ -323,7 +323,7 @@ PROBES = (
     "89504E470D0A1A0A 424D 44445320 762F3101 474946383761 474946383961 1F8B FF4FFF51 0000000C6A502020 0D0A870A 4949BC FF10FF50 0000000C4A585320 4C6572633220 436E745A496D616765 04224D18 627678 716F6966 233F "
     "49492A00 4D4D002A 49492B00 4D4D002B 45502A00 5045002A 7776706B 7A6670 28B52FFD DD99 FF0A 0000000C4A584C20 789C 785E 7801 78DA 0000001C6674797061766966 0000001C6674797068656963 0000001C667479706D696631 0000001C6674797061626364 "
     "FFD8FFDB FFD8FFEE FFD8FFC3 FFD8FFC4 FFD8FFE000104A464946 FFD8FFE1001045786966 FFD8FFE00010 FFD8FFF7 FFD8FFE80020535049464600 F0 F1000000000000 000000009CFF 524946460000000057454250 5249464600000000 "
-    "B168DE3A 0A050108 0A060108 80 0001 0002 934E554D5059 504B0304004E554D5059 504B0304 0000020000 01000000400000 00"
+    "B168DE3A 0A050108 0A060108 80 0001 0002 934E554D5059 504B0304004E554D5059 504B0304 0000020000 0100000040000000 020000004000000042000000 0200000040000000 030000004000000041000000FF000000 00"
 ).split()
 
 
@@ -352,7 +352,8 @@ def _probe_sql() -> str:
         "pcx": "starts_with(h, 'B168DE3A') OR n >= 128 AND starts_with(h, '0A') AND substr(h, 3, 2) IN ('00', '02', '03', '04', '05') AND substr(h, 5, 2) IN ('00', '01') AND substr(h, 7, 2) IN ('01', '02', '04', '08')",
         "lzw": "starts_with(h, '80') OR starts_with(h, '00') AND substr(h, 4, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')",
         "numpy": "starts_with(h, '934E554D5059') OR starts_with(h, '504B') AND contains(substr(h, 1, 128), '4E554D5059')",
-        "dicomrle": "CASE WHEN n < 64 THEN false ELSE substr(h, 1, 8) IN (" + ", ".join(f"'{i:02X}000000'" for i in range(1, 16)) + ") AND substr(h, 9, 8) = '40000000' END",
+        "dicomrle": "CASE WHEN n < 64 THEN false ELSE substr(h, 1, 8) IN (" + ", ".join(f"'{i:02X}000000'" for i in range(1, 16)) + ") AND substr(h, 9, 8) = '40000000'"
+        + " AND len(list_filter(range(1, ('0x' || substr(h, 1, 2))::INT + 1), lambda i: list_contains(['00000000'], substr(h, 8 * i + 1, 8)) OR try_cast('0x' || substr(h, 8 * i + 7, 2) || substr(h, 8 * i + 5, 2) || substr(h, 8 * i + 3, 2) || substr(h, 8 * i + 1, 2) AS BIGINT) >= n)) = 0 END",
         "snappy": "CASE WHEN n = 0 THEN false END",
         "wic": "false",
     }

@@ -263,3 +263,20 @@ def test_pages_are_added_to_a_tiff():
         assert (I.tiff_decode(three, i) == want).all()
     with pytest.raises(Exception):
         I.tiff_encode(a, appendto=b"MM\0*" + bytes(8))
+
+
+def test_interlaced_png():
+    import zlib
+
+    own = np.random.default_rng(9)
+    for shape in ((9, 11, 3), (1, 1, 3), (5, 2), (8, 8), (16, 3, 4)):
+        x = own.integers(0, 256, shape, "u1")
+        h, w = shape[:2]
+        color = {2: 0, 3: {3: 2, 4: 6}.get(shape[-1])}[x.ndim]
+        rows = b""
+        for y, a, down, across in I.PASSES:
+            part = x[y::down, a::across]
+            rows += b"".join(b"\0" + line.tobytes() for line in part) if part.size else b""
+        piece = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        data = I.PNG_SIGNATURE + piece(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 1)) + piece(b"IDAT", zlib.compress(rows)) + piece(b"IEND", b"")
+        assert (I.png_decode(data) == x).all()
