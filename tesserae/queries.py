@@ -222,6 +222,32 @@ _exr_trip.__name__ = "roundtrip_exr"
 query("SELECT page_id, sha256(html) AS digest FROM pages")(_exr_trip)
 
 
+@query("SELECT page_id, sha256(html) AS digest FROM pages")
+def roundtrip_floatpred(spark, sf_dir):
+    """Whole texts as the bits of floats."""
+    cells = lines_of(F.col("html"), 16, 4)
+    wide = F.struct(F.lit("f4").alias("dtype"), F.slice(cells["shape"], 1, 2).alias("shape"), cells["data"].alias("data"))
+    rows = pages(spark, sf_dir).select("page_id", "html").repartition("page_id")
+    return rows.select("page_id", text_digest(registry.decode("floatpred", registry.encode("floatpred", wide)), F.col("html")).alias("digest"))
+
+
+@query("SELECT item_id, sha256(text) AS digest FROM benchmark")
+def roundtrip_bfloat16(spark, sf_dir):
+    """Every two bytes of a text as the high half of a float; no text has the bits of an infinity."""
+    cells = lines_of(F.col("text"), 32, 2)
+    wide = F.struct(F.lit("f4").alias("dtype"), F.slice(cells["shape"], 1, 2).alias("shape"), F.unhex(F.regexp_replace(F.hex(cells["data"]), "(....)", "0000$1")).alias("data"))
+    back = registry.decode("bfloat16", registry.encode("bfloat16", wide))["data"]
+    text = F.unhex(F.regexp_replace(F.hex(back), "0000(....)", "$1"))
+    return benchmark(spark, sf_dir).select("item_id", F.sha2(F.substr(text, F.lit(1), F.octet_length("text")), 256).alias("digest"))
+
+
+@query(_DOCS)
+def roundtrip_rcomp(spark, sf_dir):
+    """Digests as 16-bit integers."""
+    made = registry.encode("rcomp", chunk(F.unhex(F.sha2("text", 256)), "i2", (16,)))
+    return documents(spark, sf_dir).select("doc_id", F.lower(F.hex(registry.decode("rcomp", made, shape=(16,), dtype="i2")["data"])).alias("digest"))
+
+
 def _packints_trip(name: str, bits: int, bitorder: str | None):
     """Bytes of the texts' digests as integers of so many bits."""
 
