@@ -1,4 +1,4 @@
-"""Blosc 1 buffers: blocks, shuffled and compressed one by one."""
+"""Blosc buffers, of the first format and chunks of the second: blocks, shuffled and compressed one by one."""
 
 from __future__ import annotations
 
@@ -134,3 +134,91 @@ def blosc_decode(data: bytes) -> bytes:
         raw = b"".join(parts)
         out.append(_ordered(raw, size) if flags & BYTES and size > 1 else _bits(raw, size, bitshuffle_decode) if flags & BITS else raw)
     return b"".join(out)
+
+
+# ---- the second format: 32 bytes of header, with a row of filters ----
+
+#: The version written, the flags that tell the long header, filters by their numbers, and what a chunk
+#: without data may stand for (all zeros, not-a-numbers, one value).
+SECOND, LONG = 5, BYTES | BITS
+FILTERS = {"nofilter": 0, "noshuffle": 0, "shuffle": 1, "bitshuffle": 2, "delta": 3}
+ZEROS, NANS, VALUE, NOTHING = 1, 2, 3, 4
+
+
+def blosc2_encode(data: bytes, level: int = 5, compressor: str = "zstd", shuffle: str = "shuffle", typesize: int = 1, blocksize: int = 0) -> bytes:
+    """As blosc_encode; all zeros take no room but the header."""
+    if compressor not in FORMATS or compressor == "blosclz":
+        raise NotImplementedError(f"compressor {compressor!r}")
+    if not 1 <= typesize <= 255 or not 0 <= level <= 9:
+        raise ValueError("typesize or level out of range")
+    data, kind = bytes(data), FILTERS[shuffle]
+    if kind > 2:
+        raise NotImplementedError(f"filter {shuffle!r}")
+    block = min(max(blocksize or BLOCK, typesize) // typesize * typesize, max(len(data), 1))
+    flags = LONG | WHOLE | FORMATS[compressor] << 5
+
+    def head(flags: int, size: int, special: int = 0) -> bytes:
+        return struct.pack("<BBBBIII", SECOND, 1, flags, typesize, len(data), block, size) + bytes((0, 0, 0, 0, 0, kind)) + bytes(9) + bytes((special << 4,))
+
+    if data and not data.strip(b"\0"):
+        return head(flags, 32, ZEROS)
+    parts = []
+    for a in range(0, len(data), block) if level else ():
+        raw = data[a : a + block]
+        raw = _shuffled(raw, typesize) if kind == 1 and typesize > 1 else _bits(raw, typesize, bitshuffle_encode) if kind == 2 else raw
+        made = _pack(compressor, raw, level)
+        made = b"" if not raw.strip(b"\0") else made if len(made) < len(raw) else raw  # a stream of zeros has no bytes
+        parts.append(struct.pack("<I", len(made)) + made)
+    starts = 32 + 4 * len(parts) + np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
+    if not parts or starts[-1] >= 32 + len(data):
+        return head(flags | COPIED, 32 + len(data)) + data
+    return head(flags, int(starts[-1])) + starts[:-1].astype("<u4").tobytes() + b"".join(parts)
+
+
+def blosc2_decode(data: bytes) -> bytes:
+    """Chunks of either format."""
+    data = bytes(data)
+    if len(data) < 16:
+        raise CodecError("no header")
+    _, _, flags, size, total, block, coded = struct.unpack_from("<BBBBIII", data)
+    if flags & LONG != LONG:
+        return blosc_decode(data)
+    if len(data) < 32 or coded > len(data) or total and not block:
+        raise CodecError("a damaged header")
+    special = data[31] >> 4 & 7
+    if special in (ZEROS, NOTHING):
+        return bytes(total)
+    if special == NANS:
+        return np.full(total // size, np.nan, f"<f{size}").tobytes()
+    if special == VALUE:
+        return data[32 : 32 + size] * (total // size)
+    if flags & COPIED:
+        return data[32 : 32 + total]
+    filters = [f for f in data[16:22] if f]
+    if any(f > 2 for f in filters):
+        raise NotImplementedError("filters beside shuffles")
+    out = []
+    for i, at in enumerate(struct.unpack_from(f"<{-(-total // block)}I", data, 32)):
+        length = min(block, total - i * block)
+        streams = size if not flags & WHOLE and size <= MOST_SPLITS and block // size >= LEAST_SPLIT and length == block else 1
+        parts = []
+        for _ in range(streams):
+            (packed,) = struct.unpack_from("<i", data, at)
+            at += 4
+            if packed == 0:  # zeros
+                parts.append(bytes(length // streams))
+                continue
+            if packed < 0:  # a byte that repeats, and a token in front of it
+                if packed < -255:
+                    raise CodecError("a run of another kind")
+                parts.append(bytes((-packed,)) * (length // streams))
+                at += 1
+                continue
+            raw = data[at : at + packed]
+            parts.append(raw if packed == length // streams else _unpack(flags >> 5, raw, length // streams))
+            at += packed
+        raw = b"".join(parts)
+        for f in reversed(filters):
+            raw = _ordered(raw, size) if f == 1 and size > 1 else _bits(raw, size, bitshuffle_decode) if f == 2 else raw
+        out.append(raw)
+    return b"".join(out)

@@ -83,7 +83,7 @@ def _for_decode(name: str, options: dict) -> dict:
     """Options that a decoder takes too."""
     keep = {"axis", "dist", "delta", "reorder", "itemsize", "blocksize", "header", "raw", "kind", "value", "prepend", "byteorder", "nblock", "shape", "dtype", "bitspersample", "runlen"}
     own = {"aec": {"flags", "rsi"}, "szip": {"options_mask", "pixels_per_block", "bits_per_pixel", "pixels_per_scanline"}, "cms": set(options)}
-    return {k: v for k, v in options.items() if k in keep | own.get(name, set()) and not (name in ("lz4h5", "blosc") and k == "blocksize")}
+    return {k: v for k, v in options.items() if k in keep | own.get(name, set()) and not (name in ("lz4h5", "blosc", "blosc2") and k == "blocksize")}
 
 
 def _framed(x) -> tuple[bytes, bytes]:

@@ -152,7 +152,7 @@ def _round_trip(name: str, sql: str = "SELECT page_id, sha256(html) AS digest FR
     return query(sql)(run)
 
 
-for _name in ("zlib", "zlibng", "zopfli", "deflate", "gzip", "bz2", "lzma", "zstd", "brotli", "lz4", "lz4f", "lz4h5", "snappy", "packbits", "lzw", "lzf", "pglz", "checksum", "bitshuffle", "blosc", "none"):
+for _name in ("zlib", "zlibng", "zopfli", "deflate", "gzip", "bz2", "lzma", "zstd", "brotli", "lz4", "lz4f", "lz4h5", "snappy", "packbits", "lzw", "lzf", "pglz", "checksum", "bitshuffle", "blosc", "blosc2", "none"):
     _round_trip(_name)
 
 
@@ -334,7 +334,7 @@ def codec_versions(spark, sf_dir):
 
 
 #: Codecs whose chains give back what they took, on arrays of bytes; every one, by itself.
-LOSSLESS = "aec apng bitorder bitshuffle blosc bmp brotli byteshuffle bz2 checksum deflate delta gzip jpegls lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng szip tiff xor zlib zlibng zopfli zstd".split()
+LOSSLESS = "aec apng bitorder bitshuffle blosc blosc2 bmp brotli byteshuffle bz2 checksum deflate delta gzip jpegls lz4 lz4f lz4h5 lzf lzma lzw none numpy packbits pglz png snappy spng szip tiff xor zlib zlibng zopfli zstd".split()
 
 
 @query("SELECT item_id, name, sha256(text) AS digest FROM benchmark, (SELECT unnest(string_split('" + " ".join(LOSSLESS) + "', ' ')) AS name)")

@@ -52,6 +52,7 @@ def _codecs() -> dict[str, Codec]:
         Codec("lzo", BYTES, None, C.lzo_decode),
         *[Codec(n, BYTES, getattr(Z, f"{n}_encode"), getattr(Z, f"{n}_decode")) for n in ("aec", "szip")],
         Codec("blosc", BYTES, blosc.blosc_encode, blosc.blosc_decode),
+        Codec("blosc2", BYTES, blosc.blosc2_encode, blosc.blosc2_decode),
         Codec("cms", FILTER, cms.cms_transform, cms.cms_decode),
         Codec("none", BYTES, lambda d: d, lambda d: d),
         Codec("bitshuffle", BYTES, A.bitshuffle_encode, A.bitshuffle_decode),
@@ -87,7 +88,7 @@ def _codecs() -> dict[str, Codec]:
     ]
     # listed as unavailable: their libraries are not here, or no kernel is written yet
     absent = {
-        BYTES: "blosc2 lzfse lzham",
+        BYTES: "lzfse lzham",
         SERIALIZER: (
             "avif brunsli hcomp heif htj2k jetraw jpeg2k jpegxl jpegxr jpegxs lerc meshopt "
             "pcodec sperr sz3 ultrahdr wavpack wic zfp"

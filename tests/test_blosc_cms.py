@@ -20,6 +20,25 @@ def test_blosc_round_trip(compressor, shuffle, typesize):
     assert len(blosc.blosc_encode(np.arange(30000, dtype="i4").tobytes(), 9, compressor, "shuffle", 4)) < 30000
 
 
+@pytest.mark.parametrize("compressor", ("lz4", "snappy", "zlib", "zstd"))
+@pytest.mark.parametrize("shuffle", ("noshuffle", "shuffle", "bitshuffle"))
+@pytest.mark.parametrize("typesize", (1, 2, 8, 3))
+def test_blosc2_round_trip(compressor, shuffle, typesize):
+    own = np.random.default_rng(1)
+    for data in (b"", b"x", own.integers(0, 255, 2021, "u1").tobytes(), np.arange(3000, dtype="i4").tobytes(), bytes(5000), bytes(4000) + b"abc" * 1000):
+        for level, block in ((0, 0), (1, 1000), (9, 0)):
+            made = blosc.blosc2_encode(data, level, compressor, shuffle, typesize, block)
+            assert made[2] & 5 == 5 and struct.unpack_from("<I", made, 12)[0] == len(made) and blosc.blosc2_decode(made) == data
+    assert len(blosc.blosc2_encode(bytes(5000))) == 32
+    assert blosc.blosc2_decode(blosc.blosc_encode(b"of the first format " * 50)) == b"of the first format " * 50
+
+
+def test_blosc2_special_chunks():
+    head = lambda special: struct.pack("<BBBBIII", 5, 1, 5, 4, 40, 40, 36) + bytes(15) + bytes((special << 4,))
+    assert np.isnan(np.frombuffer(blosc.blosc2_decode(head(2) + b"1234"), "f4")).all()
+    assert blosc.blosc2_decode(head(3) + b"1234") == b"1234" * 10 and blosc.blosc2_decode(head(4) + b"1234") == bytes(40)
+
+
 def test_blosc_split_blocks_and_blosclz():
     x = np.arange(2048, dtype="<u2")
     low, high = x.astype("u1").tobytes(), (x >> 8).astype("u1").tobytes()
