@@ -31,6 +31,12 @@ def numpy_decode(data: bytes, index: int = 0) -> np.ndarray:
     return found if isinstance(found, np.ndarray) else found[found.files[index]]
 
 
+def numpy_arrays(data: bytes) -> list[np.ndarray]:
+    """All arrays of a file."""
+    found = np.load(io.BytesIO(data), allow_pickle=False)
+    return [found] if isinstance(found, np.ndarray) else [found[name] for name in found.files]
+
+
 # ---- PNG ----
 
 

@@ -31,7 +31,15 @@ def read_images(spark: SparkSession, path: str, codec: str | None = None, index:
     if codec:
         files = files.withColumn("codec", F.lit(codec))
     decoders = {c.name: c.decode for c in CODECS.values() if c.decode and c.kind == "array->bytes"}
-    paged = {"tiff": lambda d: [images._tiff_page(d, t) for t in images.tiff_pages(d)]}
+
+    def frames(f):
+        def split(data):
+            whole, first = f(data), f(data, 0)
+            return list(whole) if whole.ndim > first.ndim else [whole]
+
+        return split
+
+    paged = {"tiff": lambda d: [images._tiff_page(d, t) for t in images.tiff_pages(d)], "numpy": images.numpy_arrays, "apng": frames(images.apng_decode), "png": frames(images.apng_decode), "gif": frames(images.gif_decode)}
 
     def decode(batches):
         for b in batches:

@@ -252,3 +252,21 @@ def test_checksums_of_ordered_chunks(spark):
     rows = [(k, i, c) for k, cs in chunks.items() for i, c in enumerate(cs)] + [(2, 9, None)]
     got = {r["k"]: r["adler"] for r in native.adler32_of_chunks(spark.createDataFrame(rows, "k int, i int, c binary"), "c", ["i"], ["k"]).collect()}
     assert got == {k: zlib.adler32(b"".join(cs)) for k, cs in chunks.items()}
+
+
+def test_every_frame_of_a_file_is_a_row(spark, tmp_path):
+    import io
+
+    from tesserae.operators import images as I
+
+    x = np.random.default_rng(2).integers(0, 256, (3, 6, 5), "u1")
+    npz = io.BytesIO()
+    np.savez(npz, x[0], x[1, :2])
+    for name, data in (("a.png", I.apng_encode(x)), ("b.png", I.png_encode(x[0])), ("c.npz", npz.getvalue()), ("d.gif", I.gif_encode(x)), ("e.tif", I.tiff_encode(x))):
+        (tmp_path / name).write_bytes(data)
+    got = {}
+    for r in files.read_images(spark, f"file://{tmp_path}").collect():
+        assert r["error"] is None, r
+        got.setdefault(r["path"][-5:], {})[r["page"]] = to_array(r["chunk"])
+    assert {k: len(v) for k, v in got.items()} == {"a.png": 3, "b.png": 1, "c.npz": 2, "d.gif": 3, "e.tif": 3}
+    assert all((got["a.png"][i] == x[i]).all() and (got["e.tif"][i] == x[i]).all() for i in range(3)) and (got["c.npz"][1] == x[1, :2]).all()
