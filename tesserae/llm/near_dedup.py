@@ -142,16 +142,17 @@ def members(classes: DataFrame) -> DataFrame:
     banded = classes.select("rep", "tid", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep", "tid").cast("decimal(38,0)")).alias("who")).where("m > 1")
     buckets = buckets.groupBy("m", "low", "who").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "m")
-    out = banded.join(buckets, ["band", "key"]).withColumn("chunks", F.ceil(F.col("m") / TILE).cast("int"))
+    # merge: a large bucket's rows may be split, and the plan is the same at every size
+    out = banded.join(buckets.hint("merge"), ["band", "key"]).withColumn("chunks", F.ceil(F.col("m") / TILE).cast("int"))
     return out.withColumn("chunk", F.pmod(F.xxhash64("rep", "tid", F.lit("chunk")), F.col("chunks")).cast("int"))
 
 
 def first_tiles(own: DataFrame) -> DataFrame:
-    """rep, tid, band, key, a, b (the tile) of every class: a tile for each chunk; the pivots of a bucket of several
-    chunks, about PIVOTS of them, are in all of its tiles."""
+    """rep, tid, band, key, a, b (the tiles) and large of every class: a tile for each chunk; the pivots of a bucket of
+    several chunks (large), about PIVOTS of them, are in all of its tiles."""
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("rep", "tid", F.lit("pivot")), F.col("m")) < PIVOTS)
     chunks = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    return own.select("rep", "tid", "band", "key", chunks.alias("a"), F.array(F.lit(-1)).alias("b"))
+    return own.select("rep", "tid", "band", "key", chunks.alias("a"), F.array(F.lit(-1)).alias("b"), (F.col("chunks") > 1).alias("large"))
 
 
 def rest_tiles(own: DataFrame, found: DataFrame) -> DataFrame:
@@ -160,15 +161,20 @@ def rest_tiles(own: DataFrame, found: DataFrame) -> DataFrame:
     large = own.where("chunks > 1").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     sizes = large.groupBy("band", "key", "label").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("open")).where("open > 0")
-    large = large.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("open") / TILE).cast("int"))
-    every = large.select("rep", "tid", "band", "key", F.array("chunk").alias("a"), F.sequence(F.lit(0), F.col("parts") - 1).alias("b"))
+    large = large.join(sizes.repartition(F.xxhash64("band", "key")).hint("merge"), ["band", "key"]).withColumn("parts", F.ceil(F.col("open") / TILE).cast("int"))
+    every = large.select("rep", "tid", "band", "key", F.array("chunk").alias("a"), F.sequence(F.lit(0), F.col("parts") - 1).alias("b"), F.lit(True).alias("large"))
     part = F.pmod(F.xxhash64("rep", "tid", F.lit("part")), F.col("parts")).cast("int")
-    return every.unionAll(large.where("label <> most").select("rep", "tid", "band", "key", F.sequence(F.lit(0), F.col("chunks") - 1).alias("a"), F.array(part).alias("b")))
+    return every.unionAll(large.where("label <> most").select("rep", "tid", "band", "key", F.sequence(F.lit(0), F.col("chunks") - 1).alias("a"), F.array(part).alias("b"), F.lit(True).alias("large")))
 
 
-def tiled_links(tiles: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect what the pairs within the tiles connect, checked on full sets."""
-    tiles = tiles.groupBy("rep", "tid").agg(F.collect_list(F.struct("band", "key", "a", "b")).alias("places"))
+def placed(texts: DataFrame, tiles: DataFrame) -> DataFrame:
+    """rep, tid, text, places and large of every class in a tile; texts has rep, tid and text."""
+    tiles = tiles.groupBy("rep", "tid").agg(F.collect_list(F.struct("band", "key", "a", "b")).alias("places"), F.max("large").alias("large"))
+    return texts.join(tiles.hint("merge"), ["rep", "tid"]).select("rep", "tid", "text", "places", "large")
+
+
+def tiled_links(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect what the pairs within the tiles of placed() connect, checked on full sets."""
 
     def to_tiles(batches):
         for batch in batches:
@@ -211,8 +217,7 @@ def tiled_links(tiles: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
         out = solve()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    sets = keyed.select(F.col("did").alias("rep"), "tid", "text").join(tiles, ["rep", "tid"]).select("rep", "tid", "text", "places")
-    dealt = arrow_map(sets, to_tiles, "band int, key long, x int, y int, rep long, tid long, items binary")
+    dealt = arrow_map(sets.select("rep", "tid", "text", "places"), to_tiles, "band int, key long, x int, y int, rep long, tid long, items binary")
     dealt = dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
     return arrow_map(dealt, compare, "a long, b long")
 
@@ -228,7 +233,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS) ->
     classes = made.where("digest is not null and did > -9223372036854775808").groupBy("digest").agg(F.min("did").alias("rep"), F.first("bands").alias("bands"), F.min_by("tid", "did").alias("tid"))
     classes = written(classes, "classes")
     own = written(members(classes), "members")
-    near = written(tiled_links(first_tiles(own), keyed, percent), "near")
+    sets = written(placed(keyed.select(F.col("did").alias("rep"), "tid", "text"), first_tiles(own)), "sets")
+    near = written(tiled_links(sets, percent), "near")
     # rows that share a doc_id are one document: their classes meet
     same = made.where("digest is not null").join(classes.select("digest", "rep"), "digest").where("did > -9223372036854775808 and did <> rep").select(F.col("did").alias("a"), F.col("rep").alias("b"))
     twice = made.groupBy("did").agg(F.count_distinct("digest").alias("k")).where("k > 1").select("did")
@@ -238,8 +244,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS) ->
     if own.where("chunks > 1").take(1):
         rest = rest_tiles(own, found)
         if rest.take(1):
-            found = components(links.unionAll(tiled_links(rest, keyed, percent)))
-    drop_written(own, near)
+            found = components(links.unionAll(tiled_links(placed(sets.where("large").select("rep", "tid", "text"), rest), percent)))
+    drop_written(own, sets, near)
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = made.join(named, "digest", "left")
     null = F.col("did") == F.lit(-(2**63))
