@@ -155,12 +155,13 @@ class Model:
         def solve():
             for shard in range(len(self.shards)) if held else ():
                 tables = self.shard(shard)
-                for rows, k, at in held:
+                for rows, k, each, at in held:
                     own = np.ones(len(k), bool) if len(self.shards) == 1 else shard_of(k, len(self.shards)) == shard
-                    score = np.zeros((len(k) + 1, len(self.languages)))
-                    score[1:][own] = self.log_p(k[own], tables)
-                    np.cumsum(score, 0, out=score)
-                    np.add.at(total, rows, score[at[1:]] - score[at[:-1]])
+                    score = np.zeros((len(k), len(self.languages)))
+                    score[own] = self.log_p(k[own], tables)
+                    some = at[1:] > at[:-1]
+                    if some.any():
+                        np.add.at(total, rows[some], np.add.reduceat(score[each], at[:-1][some], 0))
             held.clear()
 
         for i, part in blocks(texts):
@@ -170,7 +171,8 @@ class Model:
             ink = np.r_[0, np.cumsum(s != SPACE)]
             np.add.at(inked, rows, ink[at[1:]] - ink[at[:-1]])
             np.add.at(n, rows, np.diff(at_k))
-            held.append((rows, k, at_k))
+            distinct, each = np.unique(k, return_inverse=True)  # few, and looked up in order
+            held.append((rows, distinct, each.astype(np.int32), at_k))
             size += len(k)
             if len(self.shards) == 1 or size > GROUP:
                 solve()
