@@ -206,6 +206,7 @@ for _name in ("pcx", "ljpeg", "jpegls"):
     _array_trip(_name, benchmark, "item_id", "text")
 _array_trip("ljpeg", benchmark, "item_id", "text", decoder="jpegsof3")
 _array_trip("gif", benchmark, "item_id", "text", asrgb=False)
+_array_trip("hcomp", benchmark, "item_id", "text", width=8, dtype="u1")
 _array_trip("webp", benchmark, "item_id", "text", 4, width=16, hasalpha=True)
 _array_trip("qoi", benchmark, "item_id", "text", 4, width=16)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import native
 from tesserae.operators import aec as Z
 from tesserae.operators import bilevel as B
-from tesserae.operators import blosc, cms, jpegls, webp
+from tesserae.operators import blosc, cms, hcomp, jpegls, webp
 from tesserae.operators import compressors as C
 from tesserae.operators import exr as E
 from tesserae.operators import filters as A
@@ -82,6 +82,7 @@ def _codecs() -> dict[str, Codec]:
         Codec("exr", SERIALIZER, E.exr_encode, E.exr_decode, ("exr",)),
         Codec("jpeg", SERIALIZER, J.jpeg_encode, J.jpeg_decode, ("jpg", "jpeg", "jpe", "jfif", "jif")),
         *[Codec(n, SERIALIZER, J.jpeg8_encode, J.jpeg8_decode) for n in ("jpeg8", "mozjpeg")],
+        Codec("hcomp", SERIALIZER, hcomp.hcomp_encode, hcomp.hcomp_decode),
         Codec("jpegls", SERIALIZER, jpegls.jpegls_encode, jpegls.jpegls_decode, ("jls",)),
         Codec("webp", SERIALIZER, webp.webp_encode, webp.webp_decode, ("webp",)),
         Codec("jpegsof3", SERIALIZER, None, L.jpegsof3_decode),
@@ -90,7 +91,7 @@ def _codecs() -> dict[str, Codec]:
     absent = {
         BYTES: "lzfse lzham",
         SERIALIZER: (
-            "avif brunsli hcomp heif htj2k jetraw jpeg2k jpegxl jpegxr jpegxs lerc meshopt "
+            "avif brunsli heif htj2k jetraw jpeg2k jpegxl jpegxr jpegxs lerc meshopt "
             "pcodec sperr sz3 ultrahdr wavpack wic zfp"
         ),
     }
